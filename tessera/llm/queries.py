@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, wordpiece
+from tessera.llm import bpe, langid, mixing, sharding, wordpiece
 
 BYTE_PAIRS = os.environ.get("TESSERA_BYTE_PAIRS", public_tokenizers.path("byte_bpe_50k.json"))
 PIECES = os.environ.get("TESSERA_PIECES", public_tokenizers.path("piece_bpe_32k.model"))
@@ -18,11 +18,21 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return sharding.assign_shards(_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy word-piece counts of every document."""
     return wordpiece.with_piece_counts(_documents(spark, sf_dir, "doc_id", "text"), PIECES, drop_text=True)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document."""
+    return mixing.mix(_documents(spark, sf_dir, "doc_id", "text", "source")).drop("text_hash")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return bpe.with_tokens(_documents(spark, sf_dir, "doc_id", "text"), BYTE_PAIRS, digests=True)
@@ -35,6 +45,50 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.with_language(docs.select("doc_id", "held_out", "text"), model, drop_text=True)
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op8_bpe, op9_language)}
-
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_sharding, op4_token_counts, op7_mixing, op8_bpe, op9_language)}
+
+#: Shards: every depth of every hash is summed, and each document takes the
+#: least depth that fits.  Good for tables that need at most 24 bits.
+_SHARDS = f"""
+WITH g AS (
+  SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
+         CAST('0x' || md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, ''))))[1:15] AS BIGINT) AS hash
+  FROM documents),
+l AS (SELECT d, hash >> CAST(60 - d AS BIGINT) AS p, sum(n_bytes) AS b FROM g, range(0, 25) t(d) GROUP BY d, p),
+f AS (SELECT g.doc_id, g.n_bytes, g.hash, min(l.d) AS d FROM g JOIN l ON l.p = g.hash >> CAST(60 - l.d AS BIGINT)
+      WHERE l.b <= {sharding.LIMIT} GROUP BY g.doc_id, g.n_bytes, g.hash)
+SELECT f.doc_id, CAST(f.n_bytes AS BIGINT) AS n_bytes, CAST(f.d AS INTEGER) AS depth, l.p AS prefix, CAST(0 AS BIGINT) AS page, CAST(l.b AS BIGINT) AS shard_bytes
+FROM f JOIN l ON l.d = f.d AND l.p = f.hash >> CAST(60 - f.d AS BIGINT)
+"""
+
+_B, _R = mixing.BLOCK, mixing.REPEATS
+_MIX = f"""
+WITH z AS (
+  SELECT doc_id, source, md5(text) AS th, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+         md5(concat_ws(':', '{mixing.SEED}', coalesce(CAST(doc_id AS VARCHAR), ''))) AS h FROM documents),
+d AS (SELECT doc_id, source, th, size, CAST('0x' || h[1:12] AS BIGINT) AS at, CAST('0x' || h[13:24] AS BIGINT) AS ord FROM z),
+s0 AS (SELECT source, CAST(sum(size) AS DOUBLE) AS ss, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS place FROM d GROUP BY source),
+s1 AS (SELECT *, CAST([5, 2, 1][place % 3 + 1] AS DOUBLE) AS w, 2.0::DOUBLE * ss AS cap FROM s0),
+s2 AS (SELECT *, 1.5::DOUBLE * sum(ss) OVER () AS total, coalesce(sum(cap) OVER b, 0) AS cb, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS wl
+       FROM s1 WINDOW b AS (ORDER BY cap / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s3 AS (SELECT *, (total - cb) * w >= cap * wl AS capped FROM s2),
+s4 AS (SELECT source, place, ss, CASE WHEN capped THEN cap ELSE (total - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ()) * w / sum(CASE WHEN capped THEN 0 ELSE w END) OVER () END AS target FROM s3),
+s5 AS (SELECT *, CAST(greatest(1, ceil(sum(ss) OVER () / {mixing.SHARD})) AS BIGINT) AS n FROM s4),
+s AS (SELECT *, CAST(least(n, greatest(1, ceil(target / {_B * mixing.BLOCKS_A_SHARD}))) AS BIGINT) AS own FROM s5),
+r AS (SELECT d.*, s.place, s.ss, s.target, ((d.at % s.own) * s.n) // s.own AS shard FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+p0 AS (SELECT shard, place, CAST(sum(size) AS DOUBLE) AS part, min(target) AS target, min(ss) AS ss FROM r GROUP BY shard, place),
+p1 AS (SELECT shard, place, part, CASE WHEN ss > 0 THEN round(target * part / ss, 6) ELSE 0 END AS want FROM p0),
+p2 AS (SELECT *, round(sum(want) OVER (PARTITION BY shard), 4) AS al, count(*) OVER (PARTITION BY shard) AS n FROM p1),
+p3 AS (SELECT *, round(al / {_B}) AS blocks, CASE WHEN al > 0 THEN want / al ELSE 0 END AS f FROM p2),
+q0 AS (SELECT shard, place, want, blocks, unnest(range(0, CAST(floor(f * blocks) + ceil(f * n / 2) + 3 AS BIGINT))) AS k FROM p3 WHERE want > 0),
+q1 AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY want / (2 * k + 1) DESC, place, k) AS rank FROM q0),
+q AS (SELECT shard, place, count(*) AS quota FROM q1 WHERE rank <= blocks GROUP BY shard, place),
+x AS (SELECT p3.shard, p3.place, CAST(part AS BIGINT) AS part, least(coalesce(quota, 0) * {_B}, {_R} * CAST(part AS BIGINT)) AS words FROM p3 LEFT JOIN q USING (shard, place)),
+y AS (SELECT r.*, x.part, x.words, coalesce(sum(size) OVER (PARTITION BY r.shard, r.place ORDER BY ord, doc_id NULLS FIRST, size, th NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum
+      FROM r JOIN x ON r.shard = x.shard AND r.place = x.place)
+SELECT doc_id, size, CAST(ss AS BIGINT) AS source_size, target,
+       CAST((words // greatest(part, 1)) * size + least(greatest(words - (words // greatest(part, 1)) * part - cum, 0), size) AS BIGINT) AS taken
+FROM y
+"""
+
+SQL: dict[str, str] = {"op3_sharding": _SHARDS, "op7_mixing": _MIX}
