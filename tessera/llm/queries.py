@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, mixing, sharding, suffixes, wordpiece
+from tessera.llm import bpe, langid, minhash, mixing, sharding, suffixes, wordpiece
 
 BYTE_PAIRS = os.environ.get("TESSERA_BYTE_PAIRS", public_tokenizers.path("byte_bpe_50k.json"))
 PIECES = os.environ.get("TESSERA_PIECES", public_tokenizers.path("piece_bpe_32k.model"))
@@ -18,6 +18,12 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document; its least doc_id is kept."""
+    found = minhash.near_duplicates(_documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its repeated 400-byte strings."""
     found = suffixes.without_repeats(_documents(spark, sf_dir, "doc_id", "text"), drop_text=True)
@@ -51,7 +57,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.with_language(docs.select("doc_id", "held_out", "text"), model, drop_text=True)
 
 
-QUERIES = {f.__name__: f for f in (op2_suffixes, op3_sharding, op4_token_counts, op7_mixing, op8_bpe, op9_language)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_suffixes, op3_sharding, op4_token_counts, op7_mixing, op8_bpe, op9_language)}
 
 #: Shards: every depth of every hash is summed, and each document takes the
 #: least depth that fits.  Good for tables that need at most 24 bits.
