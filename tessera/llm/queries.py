@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, minhash, mixing, sharding, suffixes, wordpiece
+from tessera.llm import bpe, langid, minhash, mixing, quality, sharding, suffixes, wordpiece
 
 BYTE_PAIRS = os.environ.get("TESSERA_BYTE_PAIRS", public_tokenizers.path("byte_bpe_50k.json"))
 PIECES = os.environ.get("TESSERA_PIECES", public_tokenizers.path("piece_bpe_32k.model"))
@@ -40,6 +40,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.with_piece_counts(_documents(spark, sf_dir, "doc_id", "text"), PIECES, drop_text=True)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts and verdict of every document."""
+    known = quality.references(_documents(spark, sf_dir, "text", "lang"))
+    return quality.with_quality(_documents(spark, sf_dir, "doc_id", "text"), known, drop_text=True)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that the mix takes of every document."""
     return mixing.mix(_documents(spark, sf_dir, "doc_id", "text", "source")).drop("text_hash")
@@ -57,7 +63,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.with_language(docs.select("doc_id", "held_out", "text"), model, drop_text=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_suffixes, op3_sharding, op4_token_counts, op7_mixing, op8_bpe, op9_language)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_suffixes, op3_sharding, op4_token_counts, op6_quality, op7_mixing, op8_bpe, op9_language)}
 
 #: Shards: every depth of every hash is summed, and each document takes the
 #: least depth that fits.  Good for tables that need at most 24 bits.
