@@ -2,12 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.lineage import settle
 
 
+def _forest(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """The links of each batch, or a star for each of its components if that is less."""
+    for batch in batches:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while (up := parent.setdefault(top, top)) != top:
+                top = up
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        tied = [(x, root(x)) for x in parent]
+        tied = [(x, y) for x, y in tied if x != y]
+        yield pa.RecordBatch.from_arrays([pa.array([t[i] for t in tied], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node in links (a, b), both long: component is
     the least node that can be reached.
@@ -18,7 +43,8 @@ def components(links: DataFrame) -> DataFrame:
     combined before shuffling and the joins may be split for skew, so a node may
     have any number of links.  Links to oneself and repeated links do no harm.
     """
-    links = settle(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    links = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    links = settle(links.mapInArrow(_forest, "u long, v long").distinct())
     before = None
     while True:
         both = links.unionAll(links.select("v", "u"))

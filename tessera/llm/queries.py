@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, minhash, mixing, quality, sharding, suffixes, wordpiece
+from tessera.llm import bpe, itq, langid, minhash, mixing, quality, sharding, suffixes, wordpiece
 
 BYTE_PAIRS = os.environ.get("TESSERA_BYTE_PAIRS", public_tokenizers.path("byte_bpe_50k.json"))
 PIECES = os.environ.get("TESSERA_PIECES", public_tokenizers.path("piece_bpe_32k.model"))
@@ -63,7 +63,13 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.with_language(docs.select("doc_id", "held_out", "text"), model, drop_text=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_suffixes, op3_sharding, op4_token_counts, op6_quality, op7_mixing, op8_bpe, op9_language)}
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicates of every vector; the least vec_id of each group is kept."""
+    found = itq.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_suffixes, op3_sharding, op4_token_counts, op6_quality, op7_mixing, op8_bpe, op9_language, op10_embeddings)}
 
 #: Shards: every depth of every hash is summed, and each document takes the
 #: least depth that fits.  Good for tables that need at most 24 bits.
