@@ -5,11 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+#: Bytes in an Arrow batch between the JVM and a Python worker, where the session
+#: has the default: long texts then take little memory on either side.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "64MB", "8MB"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on the bytes of a batch, unless it was set."""
+    if spark.conf.get(BATCH_SETTING, BATCH_DEFAULT) in (BATCH_DEFAULT, "67108864", "67108864b"):
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """df without the columns whose names, in any case, are among these."""
     taken = {n.lower() for n in names}
@@ -29,6 +40,7 @@ def add_columns(
     named by ``inputs`` to a list of values for each of ``fields``.  Columns in
     ``drop`` are read but not returned.
     """
+    small_batches(df.sparkSession)
     clash = {f.name.lower() for f in fields} - {c.lower() for c in inputs}
     df = without(df, clash)
     gone = {c.lower() for c in drop} | {f.name.lower() for f in fields}
