@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
+from tessera.plans.arrow import small_batches
 from tessera.plans.lineage import settle
 
 COSINE = 0.9
@@ -134,6 +135,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     repeat, key or not, link as any others.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     own = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(key).alias("key"), own.alias("vector"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))

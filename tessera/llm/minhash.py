@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.rolling import mix, shingle_hashes, word_hashes
+from tessera.plans.arrow import small_batches
 from tessera.plans.lineage import settle
 
 #: Words in a shingle, and the least similarity of a link.
@@ -190,6 +191,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     are never the least unless all are null.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     idf = spark.sparkContext.broadcast(word_idf(docs, text))
     texts = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     key_type = texts.schema["key"].dataType.simpleString()

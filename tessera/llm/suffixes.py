@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.rolling import Substrings, minimizers, mix
-from tessera.plans.arrow import add_columns
+from tessera.plans.arrow import add_columns, small_batches
 from tessera.plans.lineage import settle
 
 #: Bytes of a string that counts as repeated.
@@ -233,6 +233,7 @@ def repeated_runs(docs: DataFrame, text: str = "text", length: int = LENGTH, gra
     the same row included: runs of starts, ``from`` to before ``to``."""
     if not 8 <= gram <= length:
         raise ValueError("gram must lie between 8 and length")
+    small_batches(docs.sparkSession)
     texts = docs.select(F.xxhash64(text).alias("text_key"), F.octet_length(text).alias("n_bytes"), F.col(text).alias("text")).where(F.col("n_bytes") >= length)
     anchors = settle(texts.mapInArrow(_anchors(length, gram), f"{_KEY}, at array<int>, bucket array<long>, finer array<long>"))
     rows = anchors.select("text_key", "n_bytes", F.inline(F.arrays_zip("at", "bucket", "finer")))
