@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable, Iterable, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +18,27 @@ from pyspark.sql.pandas.types import to_arrow_type
 BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "64MB", "8MB"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's limit on the bytes of a batch, unless it was set."""
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application: their
+    Python workers can then import it wherever the driver found it."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        root = Path(__file__).resolve().parents[1]
+        with tempfile.TemporaryDirectory() as folder:
+            tree = Path(folder, "tree", root.name)
+            shutil.copytree(root, tree, ignore=shutil.ignore_patterns("__pycache__"))
+            keep = tempfile.mkdtemp(prefix="tessera-")
+            context.addPyFile(shutil.make_archive(f"{keep}/{root.name}-{context.applicationId}", "zip", tree.parent))
+
+
+def prepare_workers(spark: SparkSession) -> None:
+    """Ship the package, and lower the session's limit on the bytes of a batch
+    unless it was set."""
+    ship_package(spark)
     if spark.conf.get(BATCH_SETTING, BATCH_DEFAULT) in (BATCH_DEFAULT, "67108864", "67108864b"):
         spark.conf.set(BATCH_SETTING, BATCH_BYTES)
 
@@ -40,7 +62,7 @@ def add_columns(
     named by ``inputs`` to a list of values for each of ``fields``.  Columns in
     ``drop`` are read but not returned.
     """
-    small_batches(df.sparkSession)
+    prepare_workers(df.sparkSession)
     clash = {f.name.lower() for f in fields} - {c.lower() for c in inputs}
     df = without(df, clash)
     gone = {c.lower() for c in drop} | {f.name.lower() for f in fields}
