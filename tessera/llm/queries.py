@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, itq, langid, minhash, mixing, quality, sharding, suffixes, wordpiece
+from tessera.llm import bpe, chaining, itq, langid, minhash, mixing, quality, sharding, suffixes, wordpiece
 
 BYTE_PAIRS = os.environ.get("TESSERA_BYTE_PAIRS", public_tokenizers.path("byte_bpe_50k.json"))
 PIECES = os.environ.get("TESSERA_PIECES", public_tokenizers.path("piece_bpe_32k.model"))
@@ -40,6 +40,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.with_piece_counts(_documents(spark, sf_dir, "doc_id", "text"), PIECES, drop_text=True)
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy passages that documents share."""
+    return chaining.shared_passages(_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality counts and verdict of every document."""
     known = quality.references(_documents(spark, sf_dir, "text", "lang"))
@@ -69,7 +74,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_suffixes, op3_sharding, op4_token_counts, op6_quality, op7_mixing, op8_bpe, op9_language, op10_embeddings)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_suffixes, op3_sharding, op4_token_counts, op5_passages, op6_quality, op7_mixing, op8_bpe, op9_language, op10_embeddings)}
 
 #: Shards: every depth of every hash is summed, and each document takes the
 #: least depth that fits.  Good for tables that need at most 24 bits.
