@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no folder (tests, a laptop).
@@ -9,17 +11,32 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; set to a local one only where unset."""
-    context = spark.sparkContext
-    folder = context.getCheckpointDir()
-    if not folder:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-        context.setCheckpointDir(folder)
-    return folder
+    """The shared folder of the session; a local one only where it is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute df once and keep it as a reliable checkpoint, so that later
-    reads neither repeat the work nor depend on a lost executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute df once into a table in the shared folder, so that later reads
+    neither repeat the work nor depend on an executor that may be lost.  The
+    table goes when it is released, or else with the application."""
+    spark = df.sparkSession
+    name = f"{checkpoint_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(name)
+    path, files = _path(spark, name)
+    files.deleteOnExit(path)
+    table = spark.read.schema(df.schema).parquet(name)
+    table._settled = name
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of settle() that no plan still to run will read."""
+    for table in tables:
+        path, files = _path(table.sparkSession, table._settled)
+        files.delete(path, True)
+        files.cancelDeleteOnExit(path)
