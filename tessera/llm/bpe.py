@@ -12,7 +12,8 @@ result is the one that applying the merges by rank would give.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from hashlib import sha256
 
 import ahocorasick
 import numpy as np
@@ -192,37 +193,42 @@ class BytePairs:
         return self._pool[source].tobytes()
 
 
-def with_tokens(docs: DataFrame, vocabulary: str, text: str = "text", digests: bool = False) -> DataFrame:
-    """docs with ``n_tokens`` long, ``token_ids`` array<int> and ``decoded``
-    string, or with ``digests`` ids_sha256 and decoded_sha256 in place of the
-    last two, which then never leave the worker.
+#: What with_tokens can add.
+OUTPUTS = {
+    "n_tokens": T.LongType(),
+    "token_ids": T.ArrayType(T.IntegerType()),
+    "decoded": T.StringType(),
+    "ids_sha256": T.StringType(),
+    "decoded_sha256": T.StringType(),
+}
 
-    A null text counts as empty: no token, empty decoding.  Rows, their order
-    and repetitions are kept; equal names in docs are replaced.
-    """
-    from hashlib import sha256
 
-    if digests:
-        fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    else:
-        fields = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+def with_tokens(docs: DataFrame, vocabulary: str, text: str = "text", outputs: Sequence[str] = ("n_tokens", "token_ids", "decoded"), drop_text: bool = False) -> DataFrame:
+    """docs with some of OUTPUTS: the number of tokens, their ids, the text that
+    decoding them gives, and SHA-256 digests in lowercase hex of the decimal ids
+    joined by commas and of the decoded text.
+
+    A null text counts as empty: no token, empty decoding.  Rows and their
+    repetitions are kept; equal names in docs are replaced.
+    """
 
     def start() -> Callable:
         pairs = loaded(vocabulary)
 
         def compute(texts: pa.Array) -> list:
-            counts, first, second = [], [], []
+            found: dict[str, list] = {name: [] for name in OUTPUTS}
             for scalar in texts:
                 ids, listed = pairs.encode_listed(scalar.as_py() or "")
-                back = pairs.decode(ids).decode("utf-8", "replace").encode()
-                counts.append(len(ids))
-                first.append(sha256(listed.encode()).hexdigest() if digests else ids)
-                second.append(sha256(back).hexdigest() if digests else back.decode())
-            return [counts, first, second]
+                back = pairs.decode(ids).decode("utf-8", "replace")
+                values = len(ids), ids, back, sha256(listed.encode()).hexdigest(), sha256(back.encode()).hexdigest()
+                for name, value in zip(OUTPUTS, values, strict=True):
+                    if name in outputs:
+                        found[name].append(value)
+            return [found[name] for name in outputs]
 
         return compute
 
-    return add_columns(docs, [text], fields, start, drop=[text] if digests else [])
+    return add_columns(docs, [text], [T.StructField(name, OUTPUTS[name]) for name in outputs], start, drop=[text] if drop_text else [])
 
 
 _loaded: dict[str, BytePairs] = {}

@@ -62,8 +62,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, total:
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, shard: int = SHARD, seed: int = SEED, weights: Sequence[float] = WEIGHTS, total: float = TOTAL, repeats: int = REPEATS) -> DataFrame:
-    """One row for each row of docs: key, ``text_hash`` (md5 of the text, null if
-    that is null), size, source_size, target and ``taken``, the words that the
+    """One row for each row of docs: key, source, ``text_hash`` (md5 of the text, null
+    if that is null), size, source_size, target and ``taken``, the words that the
     mix takes with repeats, at most ``repeats`` times the size.
 
     A null text has no words and is never taken; null is a source of its own.
@@ -106,4 +106,31 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rounds = F.expr("words DIV greatest(part, 1)")
     rest = F.col("words") - rounds * F.col("part") - F.coalesce(F.sum("size").over(earlier), F.lit(0))
     taken = rounds * F.col("size") + F.least(F.greatest(rest, F.lit(0)), F.col("size"))
-    return rows.select(F.col("key").alias(key), "text_hash", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select(F.col("key").alias(key), F.col("source").alias(source), "text_hash", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def first_words(text: str, n: str):
+    """The text up to the end of its n-th word."""
+    parts = F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.array_join(F.slice(parts, F.lit(1), F.col(n).cast("int")), "")
+
+
+def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **parameters) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken in full, and once
+    more with its first words for the rest; rows with nothing taken are left out.
+    Of rows equal in key, source and text, one stands for all.
+    """
+    names = ["__key", "__source", "__hash"]
+    taken = mix(docs, key, text, source, **parameters).toDF(*names, "__size", "__of", "__target", "__taken")
+    taken = taken.groupBy(*names).agg(F.sum("__taken").alias("__taken"), F.min("__size").alias("__size"), F.count("*").alias("__n")).where("__taken > 0")
+    rows = docs.withColumn("__md5", F.md5(text))
+    same = rows[key].eqNullSafe(taken["__key"]) & rows[source].eqNullSafe(taken["__source"]) & (rows["__md5"] == taken["__hash"])
+    rows = rows.join(taken, same).drop("__md5")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns], "__taken", "__size")
+    several = rows.where("__n > 1").groupBy(*names).agg(F.first(own).alias("__row")).select("__row.*")
+    rows = rows.where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns], "__taken", "__size").unionByName(several)
+    rows = rows.withColumn("__remainder", F.col("__taken") % F.col("__size"))
+    full = F.array_repeat(F.col(text), F.expr("__taken DIV __size").cast("int"))
+    last = F.when(F.col("__remainder") > 0, F.array(first_words(text, "__remainder"))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("__texts", F.concat(full, last)).drop(text)
+    return rows.select("*", F.explode("__texts").alias(text)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -53,12 +53,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that the mix takes of every document."""
-    return mixing.mix(_documents(spark, sf_dir, "doc_id", "text", "source")).drop("text_hash")
+    return mixing.mix(_documents(spark, sf_dir, "doc_id", "text", "source")).drop("text_hash", "source")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
-    return bpe.with_tokens(_documents(spark, sf_dir, "doc_id", "text"), BYTE_PAIRS, digests=True)
+    return bpe.with_tokens(_documents(spark, sf_dir, "doc_id", "text"), BYTE_PAIRS, outputs=("n_tokens", "ids_sha256", "decoded_sha256"), drop_text=True)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
