@@ -11,10 +11,11 @@ frequencies of words lie in a table of fixed size, indexed by hash.
    band share a bucket.
 3. In each bucket, every member is compared with its hub, the member that shares
    most buckets; the weighted Jaccard similarity decides.
-4. Buckets whose members still belong to several components are gone through
-   once more: the members apart from the hub's component against all others,
-   where the samples leave the similarity open.  So no link between components
-   is lost, though groups of any size are never compared pair by pair.
+4. Buckets whose members still belong to several components: every member
+   against a few more hubs of other components; and where several components are
+   left even then, the members apart from the hub's against all others, where the
+   samples leave the similarity open.  So no link between components is lost,
+   though groups of near copies are not compared pair by pair.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.rolling import mix, shingle_hashes, word_hashes
-from tessera.plans.arrow import small_batches
-from tessera.plans.lineage import settle
+from tessera.plans.arrow import prepare_workers
+from tessera.plans.lineage import release, settle
 
 #: Words in a shingle, and the least similarity of a link.
 WORDS, SIMILARITY = 5, 0.8
@@ -40,6 +41,8 @@ BANDS, ROWS = 16, 4
 SLOTS = 1 << 18
 #: The samples leave a similarity of SIMILARITY open (five standard deviations).
 OPEN = 0.55
+#: Further hubs of a bucket that still holds several components.
+HUBS = 8
 #: Elements sampled at a time, and texts that a worker remembers in comparing.
 _CHUNK, _REMEMBERED = 4096, 256
 
@@ -182,16 +185,17 @@ def _compare(idf, words: int, similarity: float) -> Callable:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row for each row of docs: the key, ``text_key`` (xxhash64 of the text)
-    and ``class_id``, the least key of its group of near-duplicates.
+    """One row for each row of docs: the key, ``text_key`` (xxhash64 of the text),
+    ``class_id``, the least key of its group of near-duplicates, and ``group``, a
+    number that only rows of the same group have.
 
     Groups are the components of all links found.  Texts with equal words are
     linked; a text with fewer words than a shingle is one shingle.  A text that
-    is null or has no word is in no group: its class_id is its key.  Null keys
+    is null or has no word is in no group: its class_id is its key, its group null.  Null keys
     are never the least unless all are null.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare_workers(spark)
     idf = spark.sparkContext.broadcast(word_idf(docs, text))
     texts = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
     key_type = texts.schema["key"].dataType.simpleString()
@@ -202,39 +206,50 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     members = kinds.select("kind", F.explode(band).alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = settle(members.join(shared, "bucket"))
-    central = members.groupBy("kind").agg(F.sum("n").alias("rank"))
+    central = settle(members.groupBy("kind").agg(F.sum("n").alias("rank")))
     hubs = members.join(central, "kind").groupBy("bucket").agg(F.max(F.struct("rank", "kind")).getField("kind").alias("hub"))
     hubs = settle(hubs)
     first = members.join(hubs, "bucket").where("kind <> hub").select(F.least("kind", "hub").alias("a"), F.greatest("kind", "hub").alias("b")).distinct()
     first = settle(first)
 
+    needed = members.select("kind").distinct().join(kinds.select("kind", "text_key"), "kind")
+    own = settle(texts.select("text_key", "text").join(needed, "text_key").groupBy("kind").agg(F.first("text").alias("text")))
+    one, other = own.toDF("a", "one"), own.toDF("b", "other")
+
     def linked(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("kind")).distinct().join(kinds.select("kind", "text_key"), "kind")
-        own = texts.select("text_key", "text").join(needed, "text_key").groupBy("kind").agg(F.first("text").alias("text"))
-        own = settle(own)
-        one, other = own.toDF("a", "one"), own.toDF("b", "other")
         pairs = pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other")
         return settle(pairs.mapInArrow(_compare(idf, words, similarity), "a long, b long"))
 
-    links = linked(first)
-    grouped = members.select("bucket", "kind").join(components(links).toDF("kind", "component"), "kind", "left").withColumn("component", F.coalesce("component", "kind"))
-    mixed = grouped.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    mixed = settle(mixed.join(hubs, "bucket"))
+    def still_mixed() -> DataFrame:
+        """Members of buckets with several components, and the hub's component."""
+        grouped = members.select("bucket", "kind").join(components(links).toDF("kind", "component"), "kind", "left").withColumn("component", F.coalesce("component", "kind"))
+        mixed = grouped.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+        grouped = grouped.join(mixed.join(hubs, "bucket"), "bucket")
+        main = grouped.where("kind = hub").select("bucket", F.col("component").alias("main"))
+        return settle(grouped.drop("hub").join(main, "bucket"))
+
+    pair = [F.least("x", "kind").alias("a"), F.greatest("x", "kind").alias("b")]
+    links, done = linked(first), first
+    mixed = still_mixed()
     if not mixed.isEmpty():
-        open_ = settle(grouped.join(mixed, "bucket").join(kinds.select("kind", "sketch"), "kind"))
-        hub_component = open_.where("kind = hub").select("bucket", F.col("component").alias("hub_component"))
-        apart = open_.join(hub_component, "bucket").where("component <> hub_component").select("bucket", F.col("kind").alias("x"), F.col("component").alias("x_component"), F.col("sketch").alias("x_sketch"))
-        # of two members apart, the one with the lower number looks for the other
+        ranked = mixed.join(central, "kind").groupBy("bucket", F.pmod(F.xxhash64("kind"), F.lit(HUBS)).alias("nth"))
+        more = ranked.agg(F.max(F.struct("rank", "kind", "component")).alias("best")).select("bucket", F.col("best.kind").alias("x"), F.col("best.component").alias("x_component"))
+        pairs = mixed.join(more, "bucket").where("component <> x_component").select(*pair).distinct()
+        pairs = settle(pairs.join(done, ["a", "b"], "left_anti"))
+        links, done = links.unionAll(linked(pairs)), done.unionAll(pairs)
+        mixed = still_mixed()
+    if not mixed.isEmpty():
+        sides = mixed.join(kinds.select("kind", "sketch"), "kind")
+        apart = sides.where("component <> main").select("bucket", F.col("kind").alias("x"), F.col("component").alias("x_component"), F.col("sketch").alias("x_sketch"))
         agree = F.size(F.filter(F.zip_with("sketch", "x_sketch", lambda p, q: p == q), lambda same: same)) >= int(OPEN / SIMILARITY * similarity * bands * rows)
-        hub_of = hub_component.withColumnRenamed("bucket", "at")
-        others = open_.join(hub_of, open_["bucket"] == hub_of["at"]).select(F.col("bucket").alias("of"), "kind", "component", "sketch", (F.col("component") == F.col("hub_component")).alias("inside"))
-        pairs = apart.join(others, (F.col("bucket") == F.col("of")) & (F.col("x_component") != F.col("component")) & (F.col("inside") | (F.col("x") < F.col("kind"))) & agree)
-        pairs = pairs.select(F.least("x", "kind").alias("a"), F.greatest("x", "kind").alias("b")).distinct()
-        pairs = settle(pairs.join(first, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            links = links.unionAll(linked(pairs))
+        # of two members apart, the one with the lower number looks for the other
+        facing = (F.col("x_component") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("x") < F.col("kind"))) & agree
+        pairs = sides.withColumnRenamed("bucket", "of").join(apart, (F.col("of") == F.col("bucket")) & facing).select(*pair).distinct()
+        pairs = settle(pairs.join(done, ["a", "b"], "left_anti"))
+        links = links.unionAll(linked(pairs))
+    release(members, own)
     groups = components(links).toDF("kind", "component")
     rows_ = sketched.select("key", "text_key", "kind").join(groups, "kind", "left").withColumn("component", F.coalesce("component", "kind"))
     least = rows_.where("component IS NOT NULL").groupBy("component").agg(F.min("key").alias("least"))
     found = rows_.join(least, "component", "left")
-    return found.select(F.col("key").alias(key), "text_key", F.when(F.col("component").isNull(), F.col("key")).otherwise(F.col("least")).alias("class_id"))
+    return found.select(F.col("key").alias(key), "text_key", F.when(F.col("component").isNull(), F.col("key")).otherwise(F.col("least")).alias("class_id"), F.col("component").alias("group"))
