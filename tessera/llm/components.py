@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.lineage import settle
+from tessera.plans.lineage import release, settle
 
 
 def _forest(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -52,7 +52,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        links = settle(joined.select("e.u", "e.v").where("u <> v").distinct())
+        following = settle(joined.select("e.u", "e.v").where("u <> v").distinct())
+        release(links)
+        links = following
         state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before or state.n == 0:
             break

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.rolling import Substrings, minimizers, mix
-from tessera.plans.arrow import add_columns, small_batches
-from tessera.plans.lineage import settle
+from tessera.plans.arrow import add_columns, prepare_workers
+from tessera.plans.lineage import release, settle
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 400
@@ -61,14 +61,15 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
 
 
-def shared_buckets(rows: DataFrame) -> DataFrame:
+def shared_buckets(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (bucket, finer, text_key, n_bytes, at) that share their bucket with
     another row, with ``repeats``: whether they share the finer one too, and
     ``witness``: whether a neighbour in the bucket has another finer one.  Each
     finer bucket beside others has a witness; rows that don't repeat all are.
 
     Rows are sorted over all tasks; a row shares what its neighbour has.  The
-    outermost rows of the tasks, two for each, are compared on the driver.
+    outermost rows of the tasks, two for each, are compared on the driver.  The
+    second result is the table to release when the first has been read.
     """
     spark = rows.sparkSession
 
@@ -112,8 +113,8 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
         if held is not None:
             yield flagged(held, before, None, True)
 
-    order = ["bucket", "finer", "text_key", "at", "n_bytes"]
-    rows = rows.select("bucket", "finer", "text_key", "n_bytes", "at").repartitionByRange(*order).sortWithinPartitions(*order)
+    order = ["bucket", "finer", "text_key", "n_bytes", "at"]
+    rows = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
     schema = f"bucket long, finer long, {_KEY}, at int, shares boolean, repeats boolean, witness boolean, edge byte, part int"
     found = settle(rows.mapInArrow(neighbours, schema))
     edges = sorted(found.where("edge > 0").collect(), key=lambda r: (r.part, r.edge))
@@ -125,7 +126,9 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
                 x[1:] = True, x[2] or equal, x[3] or not equal
     fixed = [(r.text_key, r.n_bytes, r.at, repeats, witness) for r, shares, repeats, witness in line if shares]
     inner = found.where("edge = 0").select("text_key", "n_bytes", "at", "repeats", "witness")
-    return inner.unionAll(spark.createDataFrame(fixed, f"{_KEY}, at int, repeats boolean, witness boolean")) if fixed else inner
+    if fixed:
+        inner = inner.unionAll(spark.createDataFrame(fixed, f"{_KEY}, at int, repeats boolean, witness boolean"))
+    return inner, found
 
 
 def _anchors(length: int, gram: int) -> Callable:
@@ -233,23 +236,25 @@ def repeated_runs(docs: DataFrame, text: str = "text", length: int = LENGTH, gra
     the same row included: runs of starts, ``from`` to before ``to``."""
     if not 8 <= gram <= length:
         raise ValueError("gram must lie between 8 and length")
-    small_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
     texts = docs.select(F.xxhash64(text).alias("text_key"), F.octet_length(text).alias("n_bytes"), F.col(text).alias("text")).where(F.col("n_bytes") >= length)
     anchors = settle(texts.mapInArrow(_anchors(length, gram), f"{_KEY}, at array<int>, bucket array<long>, finer array<long>"))
     rows = anchors.select("text_key", "n_bytes", F.inline(F.arrays_zip("at", "bucket", "finer")))
-    shared = shared_buckets(rows)
+    shared, table = shared_buckets(rows)
     # of a text with copies, one goes on: all of it repeats, but its strings are witnesses
     copies = anchors.groupBy("text_key", "n_bytes").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     flags = shared.groupBy("text_key", "n_bytes").agg(F.collect_set(F.col("at").cast("long") * 4 + F.col("repeats").cast("long") * 2 + F.col("witness").cast("long")).alias("flags"))
     flags, key = settle(flags.join(copies.withColumn("copied", F.lit(True)), ["text_key", "n_bytes"], "left")), ["text_key", "n_bytes"]
+    release(anchors, table)
     single = texts.join(flags.where("copied IS NULL"), key).select(*key, "text", "flags")
     several = texts.join(flags.where("copied"), key).groupBy(*key).agg(F.first("text").alias("text"), F.first("flags").alias("flags"))
     opened = single.unionByName(several)
     schema = f"{_KEY}, `from` array<int>, `to` array<int>, high array<int>, low array<int>, core array<long>, whole array<long>, start array<int>, piece array<binary>"
     opened = settle(opened.mapInArrow(_blocks(length, gram, block), schema))
+    release(flags)
     # a block's name: its number among the blocks of its text
     blocks = opened.select("text_key", "n_bytes", F.posexplode(F.arrays_zip("core", "whole"))).select("text_key", "n_bytes", F.col("pos").alias("at"), F.col("col.core").alias("bucket"), F.col("col.whole").alias("finer"))
-    shared = shared_buckets(blocks)
+    shared, table = shared_buckets(blocks)
     verdict = shared.groupBy("text_key", "n_bytes").agg(F.collect_set(F.when(F.col("repeats"), F.col("at"))).alias("yes"), F.collect_set(F.when(F.col("witness"), F.col("at"))).alias("open"))
     pick = lambda column, which: F.transform(which, lambda i: F.get(column, i))
     judged = opened.join(verdict, ["text_key", "n_bytes"], "left")
@@ -264,17 +269,21 @@ def repeated_runs(docs: DataFrame, text: str = "text", length: int = LENGTH, gra
             *[F.when(F.size("open") > 0, F.col(c)).alias(c) for c in ("start", "piece")],
         )
     )
+    release(opened, table)
     still = judged.where(F.size("low") > 0).select("text_key", "n_bytes", "high", "low", "start", "piece")
     single = settle(still.mapInArrow(_offsets(length), f"{_KEY}, at array<int>, bucket array<long>"))
     singles = single.select("text_key", "n_bytes", F.inline(F.arrays_zip("at", "bucket"))).withColumn("finer", F.lit(0).cast("long"))
-    last = shared_buckets(singles).groupBy("text_key", "n_bytes").agg(F.collect_set("at").alias("singles"))
+    shared, _ = shared_buckets(singles)
+    release(single)
+    last = shared.groupBy("text_key", "n_bytes").agg(F.collect_set("at").alias("singles"))
     return judged.select("text_key", "n_bytes", "from", "to", "yes_low", "yes_high").join(last, ["text_key", "n_bytes"], "left")
 
 
-def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, drop_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, drop_text: bool = False, decode: bool = False) -> DataFrame:
     """docs with the bytes of every text that lie in a repeated string of
     ``length`` bytes removed: ``n_bytes``, ``n_removed``, ``n_spans`` long (the
-    maximal removed runs) and ``kept`` binary.
+    maximal removed runs) and ``kept`` binary, or with ``decode`` string, without
+    the bytes of characters that a cut went through.
 
     All copies of a string go, the first one too; strings are judged on the
     input.  A null text counts as empty: 0 bytes, nothing removed.  Texts shorter
@@ -302,10 +311,11 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, g
                 out[0].append(n)
                 out[1].append(int(gone.sum()))
                 out[2].append(int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum()))
-                out[3].append(data[~gone].tobytes())
+                left = data[~gone].tobytes()
+                out[3].append(left.decode("utf-8", "ignore") if decode else left)
             return out
 
         return compute
 
-    fields = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())]
+    fields = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.StringType() if decode else T.BinaryType())]
     return add_columns(joined, [text, "__marks"], fields, start, drop=["__marks", *([text] if drop_text else [])])
