@@ -11,11 +11,11 @@ frequencies of words lie in a table of fixed size, indexed by hash.
    band share a bucket.
 3. In each bucket, every member is compared with its hub, the member that shares
    most buckets; the weighted Jaccard similarity decides.
-4. Buckets whose members still belong to several components: every member
-   against a few more hubs of other components; and where several components are
-   left even then, the members apart from the hub's against all others, where the
-   samples leave the similarity open.  So no link between components is lost,
-   though groups of near copies are not compared pair by pair.
+4. Buckets whose members still belong to several components: the members apart
+   from the hub's component against all others, block by block.  A pair is taken
+   up in the first band that it shares, if its samples leave the similarity open,
+   and only links leave a block.  So no link between components is lost, and
+   members of one component are never compared with each other.
 """
 
 from __future__ import annotations
@@ -41,8 +41,8 @@ BANDS, ROWS = 16, 4
 SLOTS = 1 << 18
 #: The samples leave a similarity of SIMILARITY open (five standard deviations).
 OPEN = 0.55
-#: Further hubs of a bucket that still holds several components.
-HUBS = 8
+#: Members in a block, about.
+BLOCK = 256
 #: Elements sampled at a time, and texts that a worker remembers in comparing.
 _CHUNK, _REMEMBERED = 4096, 256
 
@@ -184,6 +184,58 @@ def _compare(idf, words: int, similarity: float) -> Callable:
     return run
 
 
+def similarities(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard similarities of one text and several, none empty."""
+    shingle = np.concatenate([o[0] for o in others])
+    weight = np.concatenate([o[1] for o in others])
+    first = np.concatenate([[0], np.cumsum([len(o[0]) for o in others])[:-1]])
+    at = np.minimum(np.searchsorted(one[0], shingle), len(one[0]) - 1)
+    common = np.add.reduceat(np.where(one[0][at] == shingle, np.minimum(one[1][at], weight), 0.0), first)
+    return common / (one[1].sum() + np.add.reduceat(weight, first) - common)
+
+
+def _block_links(idf, words: int, similarity: float, bands: int, rows: int) -> Callable:
+    """Links between members of one block (role 0) that are apart from the
+    bucket's main component and those of another (role 1); role 2 is both."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own = idf.value
+        role, kind, component, main, band = (table.column(c).to_numpy() for c in ("role", "kind", "component", "main", "band"))
+        text = table.column("text")
+        sketch = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(role), bands * rows)
+        x, y = np.flatnonzero((role != 1) & (component != main)), np.flatnonzero(role != 0)
+        group = {c: c for c in component.tolist()}
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def root(c: int) -> int:
+            while group[c] != c:
+                c = group[c]
+            return c
+
+        def shingles(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in known:
+                known[i] = weighted_shingles(text[i].as_py(), own, words)
+            return known[i]
+
+        found: list[tuple[int, int]] = []
+        for i in x.tolist():
+            same = sketch[y] == sketch[i]
+            near = same.sum(1) >= int(OPEN / SIMILARITY * similarity * bands * rows)
+            near &= same.reshape(len(y), bands, rows).all(2).argmax(1) == band[i]
+            near &= (component[y] == main[i]) | (kind[i] < kind[y])
+            own_root = root(component[i])
+            others = [j for j in y[near].tolist() if root(component[j]) != own_root]
+            if others:
+                linked = similarities(shingles(i), [shingles(j) for j in others]) >= similarity
+                for j, yes in zip(others, linked.tolist(), strict=True):
+                    if yes:
+                        found.append((int(kind[i]), int(kind[j])))
+                        group[root(component[j])] = root(component[i])
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row for each row of docs: the key, ``text_key`` (xxhash64 of the text),
     ``class_id``, the least key of its group of near-duplicates, and ``group``, a
@@ -203,10 +255,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     kinds = sketched.where("kind IS NOT NULL").groupBy("kind").agg(F.min("text_key").alias("text_key"), F.first("sketch").alias("sketch"))
     band = F.array(*[F.xxhash64(F.lit(b), F.slice("sketch", b * rows + 1, rows)) for b in range(bands)])
     kinds = settle(kinds)
-    members = kinds.select("kind", F.explode(band).alias("bucket"))
+    members = kinds.select("kind", F.posexplode(band).alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = settle(members.join(shared, "bucket"))
-    central = settle(members.groupBy("kind").agg(F.sum("n").alias("rank")))
+    central = members.groupBy("kind").agg(F.sum("n").alias("rank"))
     hubs = members.join(central, "kind").groupBy("bucket").agg(F.max(F.struct("rank", "kind")).getField("kind").alias("hub"))
     hubs = settle(hubs)
     first = members.join(hubs, "bucket").where("kind <> hub").select(F.least("kind", "hub").alias("a"), F.greatest("kind", "hub").alias("b")).distinct()
@@ -214,39 +266,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     needed = members.select("kind").distinct().join(kinds.select("kind", "text_key"), "kind")
     own = settle(texts.select("text_key", "text").join(needed, "text_key").groupBy("kind").agg(F.first("text").alias("text")))
-    one, other = own.toDF("a", "one"), own.toDF("b", "other")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(one, "a").join(other, "b").select("a", "b", "one", "other")
-        return settle(pairs.mapInArrow(_compare(idf, words, similarity), "a long, b long"))
-
-    def still_mixed() -> DataFrame:
-        """Members of buckets with several components, and the hub's component."""
-        grouped = members.select("bucket", "kind").join(components(links).toDF("kind", "component"), "kind", "left").withColumn("component", F.coalesce("component", "kind"))
-        mixed = grouped.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        grouped = grouped.join(mixed.join(hubs, "bucket"), "bucket")
-        main = grouped.where("kind = hub").select("bucket", F.col("component").alias("main"))
-        return settle(grouped.drop("hub").join(main, "bucket"))
-
-    pair = [F.least("x", "kind").alias("a"), F.greatest("x", "kind").alias("b")]
-    links, done = linked(first), first
-    mixed = still_mixed()
-    if not mixed.isEmpty():
-        ranked = mixed.join(central, "kind").groupBy("bucket", F.pmod(F.xxhash64("kind"), F.lit(HUBS)).alias("nth"))
-        more = ranked.agg(F.max(F.struct("rank", "kind", "component")).alias("best")).select("bucket", F.col("best.kind").alias("x"), F.col("best.component").alias("x_component"))
-        pairs = mixed.join(more, "bucket").where("component <> x_component").select(*pair).distinct()
-        pairs = settle(pairs.join(done, ["a", "b"], "left_anti"))
-        links, done = links.unionAll(linked(pairs)), done.unionAll(pairs)
-        mixed = still_mixed()
-    if not mixed.isEmpty():
-        sides = mixed.join(kinds.select("kind", "sketch"), "kind")
-        apart = sides.where("component <> main").select("bucket", F.col("kind").alias("x"), F.col("component").alias("x_component"), F.col("sketch").alias("x_sketch"))
-        agree = F.size(F.filter(F.zip_with("sketch", "x_sketch", lambda p, q: p == q), lambda same: same)) >= int(OPEN / SIMILARITY * similarity * bands * rows)
-        # of two members apart, the one with the lower number looks for the other
-        facing = (F.col("x_component") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("x") < F.col("kind"))) & agree
-        pairs = sides.withColumnRenamed("bucket", "of").join(apart, (F.col("of") == F.col("bucket")) & facing).select(*pair).distinct()
-        pairs = settle(pairs.join(done, ["a", "b"], "left_anti"))
-        links = links.unionAll(linked(pairs))
+    pairs = first.join(own.toDF("a", "one"), "a").join(own.toDF("b", "other"), "b").select("a", "b", "one", "other")
+    links = settle(pairs.mapInArrow(_compare(idf, words, similarity), "a long, b long"))
+
+    grouped = members.drop("n").join(components(links).toDF("kind", "component"), "kind", "left").withColumn("component", F.coalesce("component", "kind"))
+    mixed = grouped.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("bucket", "n")
+    grouped = settle(grouped.join(mixed.join(hubs, "bucket"), "bucket"))
+    main = grouped.where("kind = hub").select("bucket", F.col("component").alias("main"))
+    grouped = grouped.drop("hub").join(main, "bucket")
+    apart = F.col("component") != F.col("main")
+    counts = grouped.where(apart).groupBy("bucket").agg(F.count("*").alias("n_apart"))
+    grouped = settle(grouped.join(counts, "bucket"))
+    if not grouped.isEmpty():
+        # the number of blocks of all members, and of those apart
+        spread = lambda n: F.ceil(F.col(n) / BLOCK)
+        place = lambda n: F.pmod(F.xxhash64("kind"), spread(n))
+        all_blocks, zero = F.sequence(F.lit(0).cast("long"), spread("n") - 1), F.lit(0).cast("long")
+        apart_blocks = F.sequence(F.lit(0).cast("long"), spread("n_apart") - 1)
+        small, large = grouped.where(spread("n") == 1), grouped.where(spread("n") > 1)
+        names = ["bucket", "band", "kind", "component", "main"]
+        dealt = small.select(*names, F.lit(2).alias("role"), zero.alias("i"), zero.alias("j"))
+        dealt = dealt.unionAll(large.where(apart).select(*names, F.lit(0), place("n_apart"), F.explode(all_blocks)))
+        dealt = dealt.unionAll(large.select(*names, F.lit(1).alias("role"), F.explode(apart_blocks).alias("i"), place("n").alias("j")))
+        dealt = dealt.join(kinds.select("kind", "sketch"), "kind").join(own, "kind")
+        more = dealt.groupBy("bucket", "i", "j").applyInArrow(_block_links(idf, words, similarity, bands, rows), "a long, b long")
+        links = links.unionAll(settle(more))
     release(members, own)
     groups = components(links).toDF("kind", "component")
     rows_ = sketched.select("key", "text_key", "kind").join(groups, "kind", "left").withColumn("component", F.coalesce("component", "kind"))

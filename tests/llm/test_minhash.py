@@ -46,8 +46,9 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_groups(spark, seed):
+@pytest.mark.parametrize("seed,block", [(1, 256), (2, 3), (3, 7)])
+def test_groups(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     texts = corpus(seed)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
