@@ -1 +1 @@
-
+"""Readers, and views of the tables as decisions, paragraphs and chunks."""
