@@ -12,6 +12,7 @@ result is the one that applying the merges by rank would give.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Callable, Sequence
 from hashlib import sha256
 
@@ -27,8 +28,9 @@ from tessera.plans.arrow import add_columns
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Pre-tokens whose encodings a worker remembers; beyond it, it starts anew.
-REMEMBERED = 400_000
+#: Pre-tokens in each of a worker's two memories of encodings: beyond it, the
+#: newer becomes the older, from which what is used again comes back.
+REMEMBERED = 120_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -90,6 +92,7 @@ class BytePairs:
         self._specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._ascii = {c: b for c, b in letters.items()}
         self._known: dict[str, tuple[bytes, str]] = {}
+        self._older: dict[str, tuple[bytes, str]] = {}
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether merging left and right's common bytes by rank leaves the
@@ -155,10 +158,12 @@ class BytePairs:
         return taken
 
     def _look_up(self, piece: str) -> tuple[bytes, str]:
-        ids = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
-        found = (np.array(ids, np.int32).tobytes(), ",".join(map(str, ids)))
+        found = self._known.get(piece) or self._older.get(piece)
+        if found is None:
+            ids = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
+            found = (array("i", ids).tobytes(), ",".join(map(str, ids)))
         if len(self._known) >= REMEMBERED:
-            self._known.clear()
+            self._older, self._known = self._known, {}
         self._known[piece] = found
         return found
 

@@ -44,7 +44,7 @@ OPEN = 0.55
 #: Members in a block, about.
 BLOCK = 256
 #: Elements sampled at a time, and texts that a worker remembers in comparing.
-_CHUNK, _REMEMBERED = 4096, 256
+_CHUNK, _REMEMBERED = 4096, 64
 
 
 def _slots(word: np.ndarray) -> np.ndarray:

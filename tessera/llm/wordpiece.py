@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from tessera.plans.arrow import add_columns
 
 #: Words whose counts a worker remembers; beyond it, it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: The mark before word-initial pieces in the vocabulary.
 MARK = "▁"
 
