@@ -15,10 +15,10 @@ INDEX_LINE = r"(?i)\b(?:index\s*codes?|ic)\s*[:#-]?\s*([^\n\r]{0,220})"
 INDEX_CODE = r"\b(?:[A-Z]{1,4}\s*-?\s*(?:\d\s*){1,4}(?:\.\s*(?:\d\s*){1,2})?[A-Z]?|\d{1,4}(?:\.\d{1,2})?[A-Z]?)\b"
 SECTION_ID = r"((?:[IVXLC]+-)?\d+(?:\.\d+)+(?:\([a-z0-9]+\))*)\b"
 RULE = r"(?i)\b(?:rules?\s+and\s+regulations?|rules?)\s*(?:section|sec\.?|§)?\s*" + SECTION_ID
-RULE_BEFORE = r"(?is)(?:rule|regulation|rent board).{0,80}?\b(?:section|sec\.?|§)\s*" + SECTION_ID
-RULE_AFTER = r"(?is)\b(?:section|sec\.?|§)\s*" + SECTION_ID + r".{0,80}?(?:rule|regulation|rent board)"
+SECTION = r"(?i)\b((?:section|sec\.?|§)\s*)" + SECTION_ID
 ORDINANCE = r"(?i)\b(?:rent\s+ordinance|ordinance)\s*(?:no\.?|#|section|sec\.?|§)?\s*(\d+(?:\.\d+)+(?:\([a-z0-9]+\))*)\b"
-ORDINANCE_BEFORE = r"(?is)(?:ordinance|rent stabilization).{0,80}?\b(?:section|sec\.?|§)\s*(37\.\d+(?:\([a-z0-9]+\))*)\b"
+SECTION_37 = r"(?i)\b((?:section|sec\.?|§)\s*)(37\.\d+(?:\([a-z0-9]+\))*)\b"
+RULE_CONTEXT, ORDINANCE_CONTEXT = "rule|regulation|rent board", "ordinance|rent stabilization"
 ISO_DATE = r"\b((?:20|19)\d{2})-(\d{2})-(\d{2})\b"
 MONTHS = "January February March April May June July August September October November December".split()
 LONG_DATE = r"(?i)\b(" + "|".join(MONTHS) + r")\s+(\d{1,2}),\s+((?:20|19)\d{2})\b"
@@ -51,13 +51,56 @@ def _cited(kind: str, lists: list[Column]) -> Column:
     return F.slice(F.array_distinct(found), 1, 30)
 
 
+#: Characters on each side of a section in which its context must be, and the
+#: most sections that can lie in them.
+REACH, PIECES = 80, 17
+
+
+def sections_near(text: Column, section: str, context: str) -> Column:
+    """Sections by a pattern of two groups, the second the id, that have a word
+    of their context within reach."""
+    plain = F.translate(text, "\x01\x02\x03", "")
+    marked = F.split(F.regexp_replace(plain, section, "\x01$2\x02$1\x03$2"), "\x01")
+
+    def found(parts: Column) -> Column:
+        clean = F.transform(parts, lambda p: F.replace(F.regexp_replace(p, "^[^\x02]*\x02", ""), F.lit("\x03"), F.lit("")))
+
+        def hit(i: Column) -> Column:
+            part = F.element_at(parts, i)
+            number = F.substring_index(part, "\x02", 1)
+            length = F.length(number) + F.length(F.substring_index(F.regexp_replace(part, "^[^\x02]*\x02", ""), "\x03", 1))
+            low = F.greatest(F.lit(1), i - PIECES)
+            before = F.right(F.array_join(F.slice(clean, low, i - low), ""), F.lit(REACH))
+            after = F.left(F.array_join(F.slice(clean, i, F.lit(PIECES)), ""), length + REACH)
+            return F.when(F.regexp_like(F.lower(F.concat(before, after)), F.lit(context)), number)
+
+        places = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: i > 1)
+        return F.array_compact(F.transform(places, hit))
+
+    return F.get(F.transform(F.array(marked), found), F.lit(0))
+
+
+def sections_near_sql(section: str, context: str, text: str = "text") -> str:
+    """The same as an expression in SQL."""
+    q = section.replace("'", "''")
+    parts = f"string_split(regexp_replace(translate({text}, chr(1) || chr(2) || chr(3), ''), '{q}', chr(1) || '\\2' || chr(2) || '\\1' || chr(3) || '\\2', 'g'), chr(1))"
+    tail = "regexp_replace(p, '^[^\x02]*\x02', '')"
+    clean = f"list_transform(x.p, lambda p: replace({tail}, chr(3), ''))"
+    number = "string_split(x.p[i], chr(2))[1]"
+    length = f"length({number}) + length(string_split({tail.replace('(p,', '(x.p[i],')}, chr(3))[1])"
+    before = f"right(array_to_string(({clean})[greatest(1, i - {PIECES}):i - 1], ''), {REACH})"
+    after = f"left(array_to_string(({clean})[i:i + {PIECES - 1}], ''), {length} + {REACH})"
+    hit = f"CASE WHEN regexp_matches(lower({before} || {after}), '{context}') THEN {number} END"
+    return f"list_transform([{{'p': {parts}}}], lambda x: list_filter(list_transform(range(2, len(x.p) + 1), lambda i: {hit}), lambda v: v IS NOT NULL))[1]"
+
+
 def rule_sections(text: Column) -> Column:
     """Rules cited directly, then sections near a mention of rules."""
-    return _cited("Rule", [_all(text, p) for p in (RULE, RULE_BEFORE, RULE_AFTER)])
+    return _cited("Rule", [_all(text, RULE), sections_near(text, SECTION, RULE_CONTEXT)])
 
 
 def ordinance_sections(text: Column) -> Column:
-    return _cited("Ordinance", [_all(text, p) for p in (ORDINANCE, ORDINANCE_BEFORE)])
+    return _cited("Ordinance", [_all(text, ORDINANCE), sections_near(text, SECTION_37, ORDINANCE_CONTEXT)])
 
 
 def decision_date(text: Column) -> Column:

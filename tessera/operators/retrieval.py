@@ -259,7 +259,7 @@ def direction_and_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {CHUNKS}, s AS (SELECT author, count(*) AS n, count(*) FILTER (WHERE section_label = 'Conclusions of Law') AS direct, count(*) FILTER (WHERE contains(chunk_text, 'the')) AS explicit FROM chunks GROUP BY author),
 g AS (SELECT author, n, direct, round(explicit / CAST(n AS DOUBLE), 6) AS explicit_ratio FROM s),
-c AS (SELECT *, round(least(1.0::DOUBLE, n / 800.0::DOUBLE) * 0.35::DOUBLE + least(1.0::DOUBLE, direct / 300.0::DOUBLE) * 0.2::DOUBLE + explicit_ratio * 0.2::DOUBLE, 6) AS strength FROM g)
+c AS (SELECT *, round(least(1.0::DOUBLE, n / 800.0::DOUBLE) * 0.35::DOUBLE + least(1.0::DOUBLE, direct / 300.0::DOUBLE) * 0.2::DOUBLE + explicit_ratio * 0.2::DOUBLE, 4) AS strength FROM g)
 SELECT author, explicit_ratio, strength, CASE WHEN n < 200 THEN 'low' WHEN strength >= 0.55::DOUBLE THEN 'high' WHEN strength >= 0.4::DOUBLE THEN 'medium' ELSE 'low' END AS confidence,
 array_to_string(list_filter([CASE WHEN n < 300 THEN 'sparse_authority' END, CASE WHEN direct = 0 THEN 'no_direct_conclusions' END, CASE WHEN explicit_ratio < 0.35::DOUBLE THEN 'thin_support' END], lambda x: x IS NOT NULL), ',') AS limitations FROM c""")
 def confidence_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +267,7 @@ def confidence_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks(decisions(spark, sf_dir)).groupBy("author").agg(F.count("*").alias("n"), F.count_if(F.col("section_label") == "Conclusions of Law").alias("direct"), F.count_if(F.contains("chunk_text", F.lit("the"))).alias("explicit"))
     rows = rows.withColumn("explicit_ratio", F.round(F.col("explicit") / F.col("n"), 6))
     one = F.lit(1.0)
-    rows = rows.withColumn("strength", F.round(F.least(one, F.col("n") / 800.0) * 0.35 + F.least(one, F.col("direct") / 300.0) * 0.2 + F.col("explicit_ratio") * 0.2, 6))
+    rows = rows.withColumn("strength", F.round(F.least(one, F.col("n") / 800.0) * 0.35 + F.least(one, F.col("direct") / 300.0) * 0.2 + F.col("explicit_ratio") * 0.2, 4))
     sure = F.when(F.col("n") < 200, "low").when(F.col("strength") >= 0.55, "high").when(F.col("strength") >= 0.4, "medium").otherwise("low")
     limits = F.array_compact(F.array(F.when(F.col("n") < 300, "sparse_authority"), F.when(F.col("direct") == 0, "no_direct_conclusions"), F.when(F.col("explicit_ratio") < 0.35, "thin_support")))
     return rows.select("author", "explicit_ratio", "strength", sure.alias("confidence"), F.array_join(limits, ",").alias("limitations"))

@@ -48,8 +48,8 @@ _METADATA = f"""
 WITH {LEGAL},
 c AS (SELECT doc_id, text, list_filter(list_transform(regexp_extract_all(array_to_string(regexp_extract_all(text, {_q(ex.INDEX_LINE)}, 1), chr(10)), {_q(ex.INDEX_CODE)}), lambda c: {_CLEAN}),
         lambda c: c <> '' AND NOT regexp_matches(replace(c, '-', ''), {_q(ex.NOISE)}) AND NOT regexp_matches(c, {_q(ex.NOISE)})) AS codes,
-      list_transform(regexp_extract_all(text, {_q(ex.RULE)}, 1) || regexp_extract_all(text, {_q(ex.RULE_BEFORE)}, 1) || regexp_extract_all(text, {_q(ex.RULE_AFTER)}, 1), lambda c: 'Rule ' || regexp_replace(c, '\\s+', '', 'g')) AS rules,
-      list_transform(regexp_extract_all(text, {_q(ex.ORDINANCE)}, 1) || regexp_extract_all(text, {_q(ex.ORDINANCE_BEFORE)}, 1), lambda c: 'Ordinance ' || regexp_replace(c, '\\s+', '', 'g')) AS ordinances,
+      list_transform(regexp_extract_all(text, {_q(ex.RULE)}, 1) || {ex.sections_near_sql(ex.SECTION, ex.RULE_CONTEXT)}, lambda c: 'Rule ' || regexp_replace(c, '\\s+', '', 'g')) AS rules,
+      list_transform(regexp_extract_all(text, {_q(ex.ORDINANCE)}, 1) || {ex.sections_near_sql(ex.SECTION_37, ex.ORDINANCE_CONTEXT)}, lambda c: 'Ordinance ' || regexp_replace(c, '\\s+', '', 'g')) AS ordinances,
       regexp_extract(text, {_q(ex.CASE_NUMBER)}, 1) AS case_number, trim(regexp_replace(regexp_extract(text, {_q(ex.AUTHOR)}, 1), '[ \\t]+', ' ', 'g')) AS author,
       concat_ws('-', regexp_extract(text, {_q(ex.ISO_DATE)}, 1), regexp_extract(text, {_q(ex.ISO_DATE)}, 2), regexp_extract(text, {_q(ex.ISO_DATE)}, 3)) AS iso, lower(regexp_extract(text, {_q(ex.LONG_DATE)}, 1)) AS month,
       regexp_extract(text, {_q(ex.LONG_DATE)}, 2) AS day, regexp_extract(text, {_q(ex.LONG_DATE)}, 3) AS year,
