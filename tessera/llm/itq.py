@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.components import components
 from tessera.plans.arrow import prepare_workers
@@ -25,7 +26,7 @@ from tessera.plans.lineage import settle
 
 COSINE = 0.9
 #: Bits of a code, tables, and the largest distance of codes that are reranked.
-BITS, TABLES, RADIUS = 64, 4, 22
+BITS, TABLES, RADIUS = 64, 4, 18
 #: Vectors in the sample for the rotation, as expected, and rounds of learning.
 SAMPLE, ROUNDS = 2048, 40
 
@@ -82,7 +83,9 @@ class Coder:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    if not len(column):
+        return np.zeros((0, 1))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def _encode(coder) -> callable:
@@ -136,11 +139,12 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     """
     spark = vectors.sparkSession
     prepare_workers(spark)
-    own = F.col(vector).cast("array<double>")
-    rows = vectors.select(F.col(key).alias("key"), own.alias("vector"))
+    # single precision travels as it is, and is compared in double precision
+    single = vectors.schema[vector].dataType == T.ArrayType(T.FloatType(), vectors.schema[vector].dataType.containsNull)
+    rows = vectors.select(F.col(key).alias("key"), F.col(vector).cast(f"array<{'float' if single else 'double'}>").alias("vector"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     valid = (F.size("vector") > 0) & F.forall("vector", finite) & F.exists("vector", lambda x: x != 0)
-    rows = settle(rows.select("key", F.when(valid, F.xxhash64("vector")).alias("node"), F.when(valid, F.col("vector")).alias("vector")))
+    rows = settle(rows.select("key", F.when(valid, F.xxhash64(F.col("vector").cast("array<double>"))).alias("node"), F.when(valid, F.col("vector")).alias("vector")))
     classes = settle(rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.first("vector").alias("vector")))
     coder = spark.sparkContext.broadcast(learned(classes, classes.count()))
     codes = settle(classes.select("node", "vector").mapInArrow(_encode(coder), "node long, size int, code long"))
