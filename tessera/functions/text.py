@@ -7,8 +7,6 @@ languages by a fixed map.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,11 +104,21 @@ def count_word(folded: Column, term: str) -> Column:
     return F.regexp_count(folded, F.lit(word_pattern(term)))
 
 
+def _place(folded: Column, pattern: str) -> Column:
+    """0-based place of what follows a pattern's leading separator, or -1."""
+    hit = F.regexp_instr(folded, F.lit(pattern))
+    at_start = (hit == 1) & F.regexp_like(F.substring(folded, 1, 1), F.lit("[a-z0-9]"))
+    return F.when(hit == 0, -1).when(at_start, 0).otherwise(hit)
+
+
 def word_position(folded: Column, term: str) -> Column:
     """0-based place of the first occurrence as a whole word, or -1."""
-    hit = F.regexp_extract(folded, word_pattern(term), 0)
-    lead = F.when(F.regexp_like(hit, F.lit("^[^a-z0-9]")), 1).otherwise(0)
-    return F.when(has_word(folded, term), F.call_function("instr", folded, hit) - 1 + lead).otherwise(-1)
+    return _place(folded, word_pattern(term))
+
+
+def group_position(folded: Column, group: Sequence[str]) -> Column:
+    """The same for the first of several terms, in one pass."""
+    return _place(folded, "(^|[^a-z0-9])(" + "|".join(word_pattern(v)[13:-13] for v in group) + ")([^a-z0-9]|$)")
 
 
 def slug(text: Column) -> Column:
@@ -124,17 +132,19 @@ def padded(text: Column) -> Column:
     return F.concat(F.lit(" "), F.lower(plain), F.lit(" "))
 
 
-def coverage(folded: Column, groups: Sequence[Sequence[str]]) -> dict[str, Column]:
-    """How many groups of variants occur, the ratio, and a boost for a small span
-    between their first places."""
-    places = [reduce(lambda a, b: F.when((a < 0) | ((b >= 0) & (b < a)), b).otherwise(a), [word_position(folded, v) for v in g]) for g in groups]
-    found = F.filter(F.array(*places), lambda p: p >= 0)
+def places(folded: Column, groups: Sequence[Sequence[str]]) -> Column:
+    """Where groups of variants first occur, for those that do."""
+    return F.filter(F.array(*[group_position(folded, g) for g in groups]), lambda p: p >= 0)
+
+
+def coverage(found: Column, n: int) -> dict[str, Column]:
+    """How many of n groups have a place, the ratio, and a boost for a small span."""
     matched = F.size(found)
     span = F.array_max(found) - F.array_min(found)
     boost = F.when(span <= 120, 0.18).when(span <= 240, 0.12).when(span <= 420, 0.07).when(span <= 700, 0.035).otherwise(0.0)
     return {
         "matched": matched,
-        "coverage": F.round(matched / len(groups), 4),
+        "coverage": F.round(matched / n, 4),
         "proximity": F.when(matched >= 2, boost).otherwise(0.0),
     }
 

@@ -165,10 +165,10 @@ COVERAGE = (("the", "les"), ("and", "und"), ("that", "dans"))
 def phrase_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concept coverage, proximity and score of an exact or partial phrase."""
     chunks = tb.chunks(tb.decisions(spark, sf_dir)).select("chunk_id", tx.fold(F.col("chunk_text")).alias("folded"))
-    found = tx.coverage(F.col("folded"), COVERAGE)
-    rows = chunks.select("chunk_id", *[c.cast("double").alias(n) if n != "matched" else c.cast("long").alias(n) for n, c in found.items()], tx.has_word(F.col("folded"), "the and that").alias("exact"))
+    found = tx.coverage(F.col("places"), len(COVERAGE))
+    rows = chunks.withColumn("places", tx.places(F.col("folded"), COVERAGE)).where("size(places) > 0").select("chunk_id", *[c.cast("double").alias(n) if n != "matched" else c.cast("long").alias(n) for n, c in found.items()], tx.has_word(F.col("folded"), "the and that").alias("exact"))
     score = F.when(F.col("exact"), 0.68).when(F.col("matched") >= len(COVERAGE), F.col("proximity") + 0.2).when(F.col("matched") >= 2, F.col("proximity") + 0.08).otherwise(0.0)
-    return rows.where("matched > 0").withColumn("phrase_score", F.round(score, 6))
+    return rows.withColumn("phrase_score", F.round(score, 6))
 
 
 def _position_sql(term: str) -> str:

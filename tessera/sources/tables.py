@@ -10,10 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a small table over all cores.  A table of at least as many splits
+    as cores stays as it is, so large inputs are never shuffled for this."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+#: Tables whose rows take much work each.
+_WIDE = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A Parquet table, pruned to some columns."""
     found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return found.select(*columns) if columns else found
+    found = found.select(*columns) if columns else found
+    return spread(found) if name in _WIDE and (not columns or {"text", "html"} & set(columns)) else found
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
