@@ -30,7 +30,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 #: Pre-tokens in each of a worker's two memories of encodings: beyond it, the
 #: newer becomes the older, from which what is used again comes back.
-REMEMBERED = 120_000
+REMEMBERED = 200_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -66,6 +66,7 @@ class BytePairs:
         for content, number in self.special.items():
             self._bytes[number] = content.encode()
         lengths = np.fromiter(map(len, self._bytes), np.int64, size)
+        self._sizes = lengths.tolist()
         self._offsets = np.concatenate([[0], np.cumsum(lengths)])
         self._lengths = lengths
         self._pool = np.frombuffer(b"".join(self._bytes), np.uint8)
@@ -91,7 +92,15 @@ class BytePairs:
         self._split = regex.compile(PATTERN).findall
         self._specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._ascii = {c: b for c, b in letters.items()}
-        self._known: dict[str, tuple[bytes, str]] = {}
+        self._decimals = [str(i) for i in range(size)]
+        # a pre-token that is a token is one: always remembered
+        self._whole: dict[str, tuple[bytes, str]] = {}
+        for number, piece in pieces.items():
+            try:
+                self._whole[piece.decode()] = self._entry([number])
+            except UnicodeDecodeError:
+                continue
+        self._known = dict(self._whole)
         self._older: dict[str, tuple[bytes, str]] = {}
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -133,7 +142,7 @@ class BytePairs:
         choices: list[list[int]] = [[] for _ in range(n)]
         for end, number in self._starts.iter(piece[::-1].decode("latin-1")):
             choices[n - 1 - end].append(number)  # longest first
-        lengths, compatible = self._bytes, self._compatible
+        sizes, compatible = self._sizes, self._compatible
         dead = bytearray(n + 1)
         taken: list[int] = []
         tried = [0] * (n + 1)
@@ -142,7 +151,7 @@ class BytePairs:
             own = choices[at]
             k = tried[at]
             while k < len(own):
-                after = at + len(lengths[own[k]])
+                after = at + sizes[own[k]]
                 if not dead[after] and (not taken or compatible(taken[-1], own[k])):
                     break
                 k += 1
@@ -153,17 +162,20 @@ class BytePairs:
                 tried[at] = 0
             else:
                 dead[at] = 1
-                at -= len(lengths[taken.pop()])
+                at -= sizes[taken.pop()]
                 tried[at] += 1
         return taken
 
+    def _entry(self, ids: list[int]) -> tuple[bytes, str]:
+        decimals = self._decimals
+        return array("i", ids).tobytes(), ",".join([decimals[i] for i in ids])
+
     def _look_up(self, piece: str) -> tuple[bytes, str]:
         found = self._known.get(piece) or self._older.get(piece)
         if found is None:
-            ids = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
-            found = (array("i", ids).tobytes(), ",".join(map(str, ids)))
-        if len(self._known) >= REMEMBERED:
-            self._older, self._known = self._known, {}
+            found = self._entry(self.encode_piece(piece.encode("utf-8", "surrogatepass")))
+        if len(self._known) >= REMEMBERED + len(self._whole):
+            self._older, self._known = self._known, dict(self._whole)
         self._known[piece] = found
         return found
 

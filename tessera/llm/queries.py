@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, chaining, itq, langid, minhash, mixing, quality, sharding, suffixes, wordpiece
+from tessera.sources.tables import table
 
 BYTE_PAIRS = os.environ.get("TESSERA_BYTE_PAIRS", public_tokenizers.path("byte_bpe_50k.json"))
 PIECES = os.environ.get("TESSERA_PIECES", public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
+    return table(spark, sf_dir, "documents", *columns)
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,13 @@ def test_bpe_on_random_text(tokenizer, monkeypatch):
         assert pairs.decode(pairs.encode(text)).decode() == text
 
 
+def test_every_token_is_one(tokenizer):
+    pairs = bpe.BytePairs(queries.BYTE_PAIRS)
+    for text, (ids, _) in pairs._whole.items():
+        if pairs._split(text) == [text]:
+            assert np.frombuffer(ids, np.int32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def greedy(word, initial, inner):
     at, n, pieces = 0, 0, initial
     while at < len(word):
