@@ -50,7 +50,7 @@ def fold(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Folded runs of letters, digits, _, : and -, of two characters or more."""
-    return F.filter(F.split(fold(text), "[^a-z0-9_:-]+"), lambda t: F.length(t) > 1)
+    return F.regexp_extract_all(F.translate(F.lower(text), ACCENTED, BASES), F.lit("[a-z0-9_:-]{2,}"), F.lit(0))
 
 
 def _stop() -> Column:

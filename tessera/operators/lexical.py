@@ -68,9 +68,8 @@ def bm25(chunks: DataFrame, terms: Sequence[str], k1: float = K1, b: float = B)
     words = tx.tokens(F.concat_ws(" ", "section_label", "chunk_text"))
     sized = chunks.select("chunk_id", words.alias("words")).withColumn("length", F.size("words"))
     totals = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    wanted = F.array(*map(F.lit, terms))
-    hits = sized.select("chunk_id", "length", F.explode(F.array_intersect("words", wanted)).alias("token"), "words")
-    hits = hits.select("chunk_id", "length", "token", F.size(F.filter("words", lambda w: w == F.col("token"))).alias("tf"))
+    hits = sized.where(F.arrays_overlap("words", F.array(*map(F.lit, terms)))).select("chunk_id", "length", F.explode("words").alias("token"))
+    hits = hits.where(F.col("token").isin(*terms)).groupBy("chunk_id", "length", "token").agg(F.count("*").alias("tf"))
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
     scored = hits.join(F.broadcast(df), "token").crossJoin(F.broadcast(totals))
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -70,10 +70,13 @@ paragraphs AS (
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Paragraphs of decisions as chunks, with what a scan of chunks needs."""
-    found = paragraphs(docs).withColumnRenamed("paragraph_text", "chunk_text").withColumnRenamed("paragraph_order", "order_rank")
+    """Paragraphs of decisions as chunks, with what a scan of chunks needs.  A
+    document is cut in place, so neither a join nor a shuffle is needed."""
+    kept = ["id", "title", "citation", "author", "jurisdiction", "decision_date"]
+    found = docs.select(*kept, F.posexplode(F.split("text", "\n")).alias("order_rank", "chunk_text")).where(F.trim("chunk_text") != "")
     chunk_id = F.col("id") * 100_000 + F.col("order_rank")
-    return found.join(docs.drop("text"), "id").select(chunk_id.alias("chunk_id"), F.col("id").alias("document_id"), "order_rank", "section_label", "chunk_text", "title", "citation", "author", "jurisdiction", "decision_date")
+    label = F.element_at(F.array(*map(F.lit, SECTION_LABELS)), F.col("order_rank") % 4 + 1)
+    return found.withColumn("section_label", label).select(chunk_id.alias("chunk_id"), F.col("id").alias("document_id"), "order_rank", "section_label", "chunk_text", "title", "citation", "author", "jurisdiction", "decision_date")
 
 
 CHUNKS = f"""{DECISIONS}, {PARAGRAPHS},
