@@ -59,8 +59,10 @@ def add_columns(
     """df with further columns; equal names in df are replaced.
 
     ``start`` runs once in a task and returns a function from the Arrow columns
-    named by ``inputs`` to a list of values for each of ``fields``.  Columns in
-    ``drop`` are read but not returned.
+    named by ``inputs`` to a list of values for each of ``fields``; if that has
+    an attribute ``close``, it is called at the task's end, so that a worker
+    that goes on to other tasks keeps no memory of this one.  Columns in ``drop``
+    are read but not returned.
     """
     prepare_workers(df.sparkSession)
     clash = {f.name.lower() for f in fields} - {c.lower() for c in inputs}
@@ -79,5 +81,6 @@ def add_columns(
             found = compute(*[batch.column(i) for i in at_input])
             new = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(found, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in at_kept] + new, names=names)
+        getattr(compute, "close", lambda: None)()
 
     return df.mapInArrow(run, T.StructType([*kept, *fields]))
