@@ -30,7 +30,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 #: Pre-tokens in each of a worker's two memories of encodings: beyond it, the
 #: newer becomes the older, from which what is used again comes back.
-REMEMBERED = 200_000
+REMEMBERED = 140_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -179,6 +179,10 @@ class BytePairs:
         self._known[piece] = found
         return found
 
+    def forget(self) -> None:
+        """Let go of what was remembered of texts."""
+        self._older, self._known = {}, dict(self._whole)
+
     def _parts(self, text: str) -> list[tuple[bytes, str]]:
         get, look_up = self._known.get, self._look_up
         if self._specials is None:
@@ -243,6 +247,7 @@ def with_tokens(docs: DataFrame, vocabulary: str, text: str = "text", outputs: S
                         found[name].append(value)
             return [found[name] for name in outputs]
 
+        compute.close = pairs.forget
         return compute
 
     return add_columns(docs, [text], [T.StructField(name, OUTPUTS[name]) for name in outputs], start, drop=[text] if drop_text else [])

@@ -85,6 +85,10 @@ class LongestMatch:
             node = fail[node]
         return total
 
+    def forget(self) -> None:
+        """Let go of what was remembered of texts."""
+        self._known = {}
+
     def count_text(self, text: str | None) -> tuple[int, int, int]:
         """Words, tokens and unknown words; an unknown word is one token."""
         words = (text or "").encode("utf-8", "surrogatepass").split()
@@ -139,6 +143,7 @@ def with_piece_counts(docs: DataFrame, vocabulary: str, text: str = "text", drop
             found = [match.count_text(t.as_py()) for t in texts]
             return [list(x) for x in zip(*found, strict=True)] or [[], [], []]
 
+        compute.close = match.forget
         return compute
 
     fields = [T.StructField(n, T.LongType()) for n in ("n_words", "n_tokens", "n_unknown")]
