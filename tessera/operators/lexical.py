@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.plans.lineage import settle
 from tessera.sources import tables as tb
 
 #: Weights of a term's hit by field.
@@ -64,12 +65,12 @@ def document_frequency(postings_: DataFrame) -> DataFrame:
 
 def bm25(chunks: DataFrame, terms: Sequence[str], k1: float = K1, b: float = B) -> DataFrame:
     """(chunk_id, score) of the chunks with any of the terms.  Only the terms'
-    postings are shuffled; the totals are one row."""
+    postings are shuffled, and kept, for their frequencies; the totals are one row."""
     words = tx.tokens(F.concat_ws(" ", "section_label", "chunk_text"))
     sized = chunks.select("chunk_id", words.alias("words")).withColumn("length", F.size("words"))
     totals = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     hits = sized.where(F.arrays_overlap("words", F.array(*map(F.lit, terms)))).select("chunk_id", "length", F.explode("words").alias("token"))
-    hits = hits.where(F.col("token").isin(*terms)).groupBy("chunk_id", "length", "token").agg(F.count("*").alias("tf"))
+    hits = settle(hits.where(F.col("token").isin(*terms)).groupBy("chunk_id", "length", "token").agg(F.count("*").alias("tf")))
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
     scored = hits.join(F.broadcast(df), "token").crossJoin(F.broadcast(totals))
     idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -81,8 +82,8 @@ def matched_groups(chunks: DataFrame, groups: Sequence[Sequence[str]]) -> DataFr
     """chunks with ``matched``: how many groups of variants have a token there.
     A threshold on it is a tier of a relaxed conjunction."""
     words = tx.tokens(F.concat_ws(" ", "section_label", "chunk_text"))
-    hits = [F.arrays_overlap(words, F.array(*map(F.lit, g))).cast("int") for g in groups]
-    return chunks.withColumn("matched", reduce(lambda a, b: a + b, hits))
+    hits = [F.arrays_overlap("__words", F.array(*map(F.lit, g))).cast("int") for g in groups]
+    return chunks.withColumn("__words", words).withColumn("matched", reduce(lambda a, b: a + b, hits)).drop("__words")
 
 
 TERMS = ("tion", "ment", "src1")

@@ -20,11 +20,20 @@ def _path(spark: SparkSession, name: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def settle(df: DataFrame) -> DataFrame:
+#: Files for each core that a table of few small rows takes at most.
+FILES_A_CORE = 4
+
+
+def settle(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Compute df once into a table in the shared folder, so that later reads
     neither repeat the work nor depend on an executor that may be lost.  The
-    table goes when it is released, or else with the application."""
+    table goes when it is released, or else with the application.
+
+    ``narrow`` is for tables with few columns of numbers: a file for each of
+    very many partitions would cost more than what it holds."""
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism)
     name = f"{checkpoint_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{uuid4().hex}"
     df.write.option("compression", "zstd").parquet(name)
     path, files = _path(spark, name)
