@@ -44,7 +44,7 @@ def components(links: DataFrame) -> DataFrame:
     have any number of links.  Links to oneself and repeated links do no harm.
     """
     links = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
-    links = settle(links.mapInArrow(_forest, "u long, v long").distinct())
+    links = settle(links.mapInArrow(_forest, "u long, v long").distinct(), narrow=True)
     before = None
     while True:
         both = links.unionAll(links.select("v", "u"))
@@ -52,7 +52,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        following = settle(joined.select("e.u", "e.v").where("u <> v").distinct())
+        following = settle(joined.select("e.u", "e.v").where("u <> v").distinct(), narrow=True)
         release(links)
         links = following
         state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
