@@ -231,7 +231,7 @@ def phrase_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {CHUNKS}, r AS (SELECT document_id, chunk_id, length(chunk_text) AS rank FROM chunks)
 SELECT document_id, max(rank) AS best, max(chunk_id) AS last_chunk, count(*) AS n FROM r GROUP BY document_id ORDER BY best DESC, last_chunk DESC LIMIT 100""")
 def doc_max_rank_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(decisions(spark, sf_dir)).select("document_id", "chunk_id", F.length("chunk_text").alias("rank"))
+    rows = chunks(decisions(spark, sf_dir)).select("document_id", "chunk_id", F.length("chunk_text").cast("bigint").alias("rank"))
     found = rows.groupBy("document_id").agg(F.max("rank").alias("best"), F.max("chunk_id").alias("last_chunk"), F.count("*").alias("n"))
     return found.orderBy(F.desc("best"), F.desc("last_chunk")).limit(100)
 
@@ -394,7 +394,7 @@ SELECT document_id, chunk_id, score, rn FROM r WHERE rn <= 2 ORDER BY score DESC
 def diversify_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most two chunks of a document on a page."""
     w = Window.partitionBy("document_id").orderBy(F.desc("score"), "chunk_id")
-    return _ranked(spark, sf_dir).withColumn("rn", F.row_number().over(w)).where("rn <= 2").select("document_id", "chunk_id", "score", "rn").orderBy(F.desc("score"), "chunk_id").limit(60)
+    return _ranked(spark, sf_dir).withColumn("rn", F.row_number().over(w)).where("rn <= 2").select("document_id", "chunk_id", F.col("score").cast("bigint").alias("score"), F.col("rn").cast("bigint").alias("rn")).orderBy(F.desc("score"), "chunk_id").limit(60)
 
 
 @query(_RANKED + """, f AS (SELECT *, order_rank % 3 = 0 AS low, row_number() OVER (ORDER BY score DESC, chunk_id) AS place FROM s),

@@ -229,7 +229,7 @@ def paragraph_support_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.round(hits / F.size("w") + F.when(F.col("section_label") == "Conclusions of Law", 0.14).otherwise(0.0), 6)
     rows = pairs.select("item_id", "chunk_id", score.alias("score")).where("score > 0.08")
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), "chunk_id")
-    return rows.withColumn("rn", F.row_number().over(w)).where("rn <= 3")
+    return rows.withColumn("rn", F.row_number().over(w)).where("rn <= 3").withColumn("rn", F.col("rn").cast("bigint"))
 
 
 _OUTCOMES = {"grant": ("ing", "oner"), "deny": ("les", "tion "), "partial": ("und", "para")}
