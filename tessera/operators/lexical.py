@@ -193,6 +193,26 @@ def sentence_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("overlap", F.when(F.col("run") >= 8, 0.12).when(F.col("run") >= 6, 0.08).when(F.col("run") >= 5, 0.05).otherwise(0.0))
 
 
+def sentence_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest run of an item's meaningful tokens, all of them, that a document
+    has, for every pair that scores.  A run that scores holds five tokens in a row:
+    each five are looked up by the rarest of them."""
+    long = lambda c: F.filter(tx.tokens(c), lambda t: (F.length(t) > 2) & ~F.array_contains(F.array(*map(F.lit, tx.STOPWORDS)), t))
+    items = tb.table(spark, sf_dir, "benchmark").select("item_id", long(F.col("text")).alias("wanted")).where("size(wanted) >= 5")
+    words = tb.table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(F.array_distinct(long(F.col("text")))).alias("token"))
+    words = words.join(items.select(F.explode("wanted").alias("token")).distinct(), "token", "left_semi")
+    counts = words.groupBy("token").agg(F.count("*").alias("df"))
+    fives = items.select(F.explode(F.expr("transform(sequence(1, size(wanted) - 4), i -> array_distinct(slice(wanted, i, 5)))")).alias("five")).distinct()
+    known = fives.select("five", F.explode("five").alias("token")).join(counts, "token")
+    keys = known.groupBy("five").agg(F.min_by("token", F.struct("df", "token")).alias("token"), F.count("*").alias("n")).where("n = size(five)").select("token", "five")
+    present = words.groupBy("doc_id").agg(F.collect_list("token").alias("present"))
+    hits = words.join(keys, "token").join(present, "doc_id").where(F.forall("five", lambda t: F.array_contains("present", t))).select("doc_id", "five").distinct()
+    owners = items.select("item_id", F.explode(F.expr("transform(sequence(1, size(wanted) - 4), i -> array_distinct(slice(wanted, i, 5)))")).alias("five")).distinct()
+    found = hits.join(owners, "five").select("item_id", "doc_id").distinct().join(items, "item_id").join(present, "doc_id")
+    found = found.select("item_id", "doc_id", tx.longest_run(F.col("wanted"), F.col("present")).cast("long").alias("run"))
+    return found.withColumn("overlap", F.when(F.col("run") >= 8, 0.12).when(F.col("run") >= 6, 0.08).otherwise(0.05))
+
+
 def in_memory_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coverage, density and phrase of a query's terms in each document."""
     terms = ("the", "and", "that", "les")
@@ -215,7 +235,7 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STOP = "[" + ", ".join(f"'{w}'" for w in tx.STOPWORDS) + "]"
 _DISTINCT = "list_filter({l}, lambda t, i: list_position({l}, t) = i)"
 
-QUERIES = {f.__name__: f for f in (lexical_rank_topk, whole_word_rank, token_df, bm25_topk, and_of_groups, relaxed_tiers, prefix_any_token, phrase_adjacency, phrase_coverage, sentence_overlap, in_memory_score, query_terms)}
+QUERIES = {f.__name__: f for f in (lexical_rank_topk, whole_word_rank, token_df, bm25_topk, and_of_groups, relaxed_tiers, prefix_any_token, phrase_adjacency, phrase_coverage, sentence_overlap, sentence_overlap_whole, in_memory_score, query_terms)}
 
 _ANY = " OR ".join(f"contains(lower(coalesce({c}, '')), '{t}')" for t in TERMS for c in ("chunk_text", "citation", "title", "author"))
 _WORD = "round(" + " + ".join(f"CASE WHEN {f'contains(lower({c}), {chr(39)}{t}{chr(39)})' if c in ('citation', 'section_label') else f'contains({_padded_sql(c)}, {chr(39)} {t} {chr(39)})'} THEN {w}::DOUBLE ELSE 0 END" for t in WORDS for c, w in WEIGHTS.items()) + ", 6)"
@@ -268,6 +288,12 @@ k AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w)), lambda j:
 m AS (SELECT item_id, doc_id, list_transform(wanted, lambda t: CAST(list_contains(w, t) AS INTEGER)) AS f FROM i JOIN k USING (key) JOIN d USING (doc_id)),
 r AS (SELECT item_id, doc_id, CAST(list_max(list_transform(string_split(array_to_string(f, ''), '0'), lambda s: length(s))) AS BIGINT) AS run FROM m)
 SELECT item_id, doc_id, run, CAST(CASE WHEN run >= 8 THEN 0.12 WHEN run >= 6 THEN 0.08 WHEN run >= 5 THEN 0.05 ELSE 0 END AS DOUBLE) AS overlap FROM r""",
+    "sentence_overlap_whole": f"""
+WITH i AS (SELECT item_id, list_filter({tokens_sql('text')}, lambda t: length(t) > 2 AND NOT list_contains({_STOP}, t)) AS wanted FROM benchmark),
+d AS (SELECT doc_id, list_filter({tokens_sql('text')}, lambda t: length(t) > 2 AND NOT list_contains({_STOP}, t)) AS w FROM documents),
+m AS (SELECT item_id, doc_id, list_transform(wanted, lambda t: CAST(list_contains(w, t) AS INTEGER)) AS f FROM i, d WHERE len(wanted) >= 5),
+r AS (SELECT item_id, doc_id, CAST(list_max(list_transform(string_split(array_to_string(f, ''), '0'), lambda s: length(s))) AS BIGINT) AS run FROM m)
+SELECT item_id, doc_id, run, CAST(CASE WHEN run >= 8 THEN 0.12 WHEN run >= 6 THEN 0.08 ELSE 0.05 END AS DOUBLE) AS overlap FROM r WHERE run >= 5""",
     "in_memory_score": f"""
 WITH f AS (SELECT doc_id, {fold_sql('text')} AS folded FROM documents),
 c AS (SELECT doc_id, folded, list_transform(['the', 'and', 'that', 'les'], lambda t: len(regexp_extract_all(folded, '(^|[^a-z0-9])' || t || '([^a-z0-9]|$)'))) AS n FROM f),
