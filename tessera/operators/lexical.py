@@ -159,6 +159,21 @@ def phrase_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(grams, "phrase").groupBy("item_id", "doc_id").agg(F.count("*").alias("n_hits"))
 
 
+def phrase_adjacency_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adjacent tokens: where documents have all of an item's, in order.  Items are
+    looked up by their first three tokens, or all of fewer, then tested whole."""
+    items = tb.table(spark, sf_dir, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("wanted")).where("size(wanted) > 0")
+    docs = tb.table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", tx.tokens(F.col("text")).alias("w"))
+    places = []
+    for n in (1, 2, 3):
+        keyed = items.where(f"size(wanted) {'>=' if n == 3 else '='} {n}").select("item_id", F.array_join(F.slice("wanted", 1, n), " ").alias("phrase"))
+        grams = docs.where(f"size(w) >= {n}").select("doc_id", F.posexplode(F.expr(f"transform(sequence(1, size(w) - {n - 1}), i -> array_join(slice(w, i, {n}), ' '))")).alias("at", "phrase"))
+        places.append(grams.join(keyed, "phrase").select("item_id", "doc_id", "at"))
+    found = reduce(DataFrame.unionByName, places).join(items, "item_id").join(docs, "doc_id")
+    whole = F.expr("slice(w, at + 1, size(wanted)) = wanted")
+    return found.where(whole).groupBy("item_id", "doc_id").agg(F.count("*").alias("n_hits"))
+
+
 COVERAGE = (("the", "les"), ("and", "und"), ("that", "dans"))
 
 
@@ -235,7 +250,7 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STOP = "[" + ", ".join(f"'{w}'" for w in tx.STOPWORDS) + "]"
 _DISTINCT = "list_filter({l}, lambda t, i: list_position({l}, t) = i)"
 
-QUERIES = {f.__name__: f for f in (lexical_rank_topk, whole_word_rank, token_df, bm25_topk, and_of_groups, relaxed_tiers, prefix_any_token, phrase_adjacency, phrase_coverage, sentence_overlap, sentence_overlap_whole, in_memory_score, query_terms)}
+QUERIES = {f.__name__: f for f in (lexical_rank_topk, whole_word_rank, token_df, bm25_topk, and_of_groups, relaxed_tiers, prefix_any_token, phrase_adjacency, phrase_adjacency_whole, phrase_coverage, sentence_overlap, sentence_overlap_whole, in_memory_score, query_terms)}
 
 _ANY = " OR ".join(f"contains(lower(coalesce({c}, '')), '{t}')" for t in TERMS for c in ("chunk_text", "citation", "title", "author"))
 _WORD = "round(" + " + ".join(f"CASE WHEN {f'contains(lower({c}), {chr(39)}{t}{chr(39)})' if c in ('citation', 'section_label') else f'contains({_padded_sql(c)}, {chr(39)} {t} {chr(39)})'} THEN {w}::DOUBLE ELSE 0 END" for t in WORDS for c, w in WEIGHTS.items()) + ", 6)"
@@ -274,6 +289,10 @@ SELECT document_id, count(*) AS n_chunks, min(chunk_id) AS first_chunk FROM w WH
 WITH i AS (SELECT item_id, {tokens_sql('text')}[1:3] AS w FROM benchmark), d AS (SELECT doc_id, {tokens_sql('text')} AS w FROM documents),
 g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda k: concat_ws(' ', w[k], w[k + 1], w[k + 2]))) AS phrase FROM d WHERE len(w) >= 3)
 SELECT item_id, doc_id, count(*) AS n_hits FROM i JOIN g ON g.phrase = array_to_string(i.w, ' ') WHERE len(i.w) = 3 GROUP BY item_id, doc_id""",
+    "phrase_adjacency_whole": f"""
+WITH i AS (SELECT item_id, {tokens_sql('text')} AS wanted FROM benchmark), d AS (SELECT doc_id, {tokens_sql('text')} AS w FROM documents),
+c AS (SELECT item_id, doc_id, CAST(len(list_filter(range(1, len(w) - len(wanted) + 2), lambda k: w[k:k + len(wanted) - 1] = wanted)) AS BIGINT) AS n_hits FROM i, d WHERE len(wanted) > 0 AND len(w) >= len(wanted))
+SELECT item_id, doc_id, n_hits FROM c WHERE n_hits > 0""",
     "phrase_coverage": f"""
 WITH {tb.CHUNKS}, f AS (SELECT chunk_id, {fold_sql('chunk_text')} AS folded FROM chunks),
 p AS (SELECT chunk_id, folded, list_filter([{', '.join(_group_sql(g) for g in COVERAGE)}], lambda x: x >= 0) AS p FROM f),

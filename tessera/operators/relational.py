@@ -225,6 +225,25 @@ def phrase_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(keyed, "key").where(F.contains("folded", F.col("phrase"))).select("item_id", "doc_id").distinct()
 
 
+@query("""WITH i AS (SELECT item_id, lower(text) AS phrase FROM benchmark WHERE length(text) > 0)
+SELECT item_id, doc_id FROM i JOIN documents ON contains(lower(text), phrase)""")
+def phrase_containment_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole catalogue phrases of any length in documents.  The second and third
+    of four words or more are whole in a document that holds the phrase, and are
+    its key; shorter phrases meet every document."""
+    from tessera.functions.text import squeeze
+
+    items = table(spark, sf_dir, "benchmark", "item_id", "text").where("length(text) > 0").select("item_id", F.lower("text").alias("phrase"))
+    items = items.withColumn("w", F.filter(F.split(squeeze(F.col("phrase")), " "), lambda t: t != ""))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.lower("text").alias("folded")).where("folded IS NOT NULL")
+    listed = docs.select("doc_id", F.split(squeeze(F.col("folded")), " ").alias("w")).where("size(w) > 1")
+    grams = listed.select("doc_id", F.explode(F.array_distinct(F.expr("transform(sequence(1, size(w) - 1), i -> concat_ws(' ', w[i - 1], w[i]))"))).alias("key"))
+    keyed = items.where("size(w) >= 4").select("item_id", F.concat_ws(" ", F.get("w", F.lit(1)), F.get("w", F.lit(2))).alias("key"))
+    long = grams.join(keyed, "key").select("item_id", "doc_id").distinct().join(items.select("item_id", "phrase"), "item_id").join(docs, "doc_id").where(F.contains("folded", F.col("phrase")))
+    short = docs.join(items.where("size(w) < 4").select("item_id", "phrase"), F.contains("folded", F.col("phrase")))
+    return long.select("item_id", "doc_id").unionByName(short.select("item_id", "doc_id"))
+
+
 # ---- aggregates ------------------------------------------------------------
 
 
