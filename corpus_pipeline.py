@@ -15,6 +15,9 @@ from tessera.plans.lineage import settle
 
 #: Least calibrated probability of a document's language.
 LEAST_SCORE = 0.5
+#: Bytes of a string that the string stage removes, and of its first buckets:
+#: passages of 50 words of prose are rarely shorter.
+STRING, GRAM = 240, 80
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -57,19 +60,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their repeated strings."""
-    cut = suffixes.without_repeats(_packed(docs), decode=True, drop_text=True)
+    """All documents, without what lies in strings of STRING bytes that start more
+    than once in the stage's input, all copies included; a character that a cut
+    goes through goes too.  A null text becomes empty, texts shorter than STRING
+    stay, and so do documents of which nothing is left; an empty table is one."""
+    cut = suffixes.without_repeats(_packed(docs), length=STRING, gram=GRAM, decode=True, drop_text=True)
     return _unpacked(cut.withColumnRenamed("kept", "text"), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes, documents taken more than once in as many rows."""
+    """What the mix takes, documents taken more than once in as many rows, and the
+    last time perhaps with their first words only.  Documents with a null text or
+    no word have no part in it; null is a source of its own; rows that repeat are
+    taken as one, as often as all of them; an empty table gives one."""
     rows = _packed(docs).select("__rest", "text", F.col("__rest.doc_id").alias("__id"), F.col("__rest.source").alias("__from"))
     return _unpacked(mixing.mixed_rows(rows, key="__id", source="__from"), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of each row."""
+    """The tokens of each row, with doc_id and source: ``n_tokens``, ``token_ids``,
+    and digests of the ids and of the text that they decode to.  A null or empty
+    text has no tokens; repeated rows repeat; an empty table gives one."""
     rows = docs.select("doc_id", "source", "text")
     return bpe.with_tokens(rows, queries.BYTE_PAIRS, outputs=("n_tokens", "token_ids", "ids_sha256", "decoded_sha256"), drop_text=True)
 
