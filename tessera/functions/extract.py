@@ -201,9 +201,11 @@ def retrieval_priority(kind: Column, sure: Column, aligned: Column, lowered: Col
 
 
 def fnv1a(text: Column) -> Column:
-    """The 32-bit FNV-1a hash of a text's characters, in hexadecimal; characters
-    beyond 16 bits aren't split."""
+    """The 32-bit FNV-1a hash of a text's UTF-16 units, in hexadecimal."""
     codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.call_function("ascii", c).cast("bigint"))
+    beyond = lambda c: c - 0x10000
+    pair = lambda c: F.array(F.shiftright(beyond(c), 10) + 0xD800, beyond(c).bitwiseAND(F.lit(0x3FF)) + 0xDC00)
+    units = F.flatten(F.transform(codes, lambda c: F.when(c < 0x10000, F.array(c)).otherwise(pair(c))))
     mask = F.lit(0xFFFFFFFF)
-    value = F.aggregate(codes, F.lit(0x811C9DC5).cast("bigint"), lambda h, c: (h.bitwiseXOR(c) * 16777619).bitwiseAND(mask))
+    value = F.aggregate(units, F.lit(0x811C9DC5).cast("bigint"), lambda h, c: (h.bitwiseXOR(c) * 16777619).bitwiseAND(mask))
     return F.lpad(F.lower(F.hex(value)), 8, "0")

@@ -1,17 +1,34 @@
 """Text as Columns: folding, tokens, whole words, phrases and keys.
 
-All of it is native expressions.  Folding covers the accents of Western European
-languages by a fixed map.
+All of it is native expressions.  Folding takes every letter that Unicode
+decomposes to a base and marks to its base.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and their bases.
-ACCENTED, BASES = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"
+
+
+def _bases() -> dict[str, str]:
+    """Letters of one base and marks to the base, and marks to nothing."""
+    out = {}
+    for point in (*range(0xC0, 0x600), *range(0x1E00, 0x2000)):
+        parts = unicodedata.normalize("NFD", chr(point))
+        base = "".join(c for c in parts if not 0x300 <= ord(c) <= 0x36F)
+        if base != chr(point) and len(base) <= 1:
+            out[chr(point)] = base
+    return out
+
+
+_BASES = _bases()
+#: Accented letters, and their bases in the same order; marks at the end have none.
+ACCENTED = "".join(sorted(_BASES, key=lambda c: not _BASES[c]))
+BASES = "".join(_BASES[c] for c in ACCENTED)
 
 #: Words that carry no meaning in a query.
 STOPWORDS = (

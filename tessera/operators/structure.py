@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +37,7 @@ def legal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LEGAL = (
     "concat(text, {cr}, 'Case No. T', doc_id, '. Rules and Regulations Section 6.', doc_id % 20, '(a). Rent Ordinance 37.', doc_id % 12, '(b)(', doc_id % 4, '). See section 37.', doc_id % 9, ' of the ordinance.', {cr}, "
-    "'Index Codes: G', doc_id % 90 + 10, ', 13, 2021, B-', doc_id % 7, {cr}, 'Dated March ', doc_id % 28 + 1, ', 2021. Judge: Erin Katayama', {cr}, "
+    "'Index Codes: G', doc_id % 90 + 10, ', 13, 2021, B-', doc_id % 7, {cr}, 'Dated March ', doc_id % 28 + 1, ', 2021. Judge: Mara Ellwood', {cr}, "
     "CASE doc_id % 4 WHEN 0 THEN 'The petition is approved and the claim allowed.' WHEN 1 THEN 'The petition is denied and dismissed.' WHEN 2 THEN 'It is partially granted, limited grant.' ELSE 'No outcome.' END)"
 )
 LEGAL = "legal AS (SELECT doc_id, " + _LEGAL.format(cr="chr(10)") + " AS text FROM documents)"
@@ -88,10 +89,10 @@ def qc_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Canonical names and what stands for them in texts; a parameter of a deployment.
-JUDGES = {"Erin Katayama": ("katayama",), "Andrew Thede": ("thede", "thedin"), "Rita Reonti": ("reonti",)}
+JUDGES = {"Mara Ellwood": ("ellwood",), "Jon Tarrin": ("tarrin", "tarran"), "Ida Quell": ("quell",)}
 
 
-@query(f"""WITH {LEGAL}, m AS (SELECT doc_id, list_filter(['Erin Katayama', 'Andrew Thede', 'Rita Reonti'], lambda n: CASE n WHEN 'Erin Katayama' THEN contains(lower(text), 'katayama') WHEN 'Andrew Thede' THEN contains(lower(text), 'thede') OR contains(lower(text), 'thedin') ELSE contains(lower(text), 'reonti') END) AS names FROM legal)
+@query(f"""WITH {LEGAL}, m AS (SELECT doc_id, list_filter(['Mara Ellwood', 'Jon Tarrin', 'Ida Quell'], lambda n: CASE n WHEN 'Mara Ellwood' THEN contains(lower(text), 'ellwood') WHEN 'Jon Tarrin' THEN contains(lower(text), 'tarrin') OR contains(lower(text), 'tarran') ELSE contains(lower(text), 'quell') END) AS names FROM legal)
 SELECT doc_id, array_to_string(names, ';') AS names, CASE WHEN len(names) = 1 THEN names[1] END AS judge FROM m""")
 def judge_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical names whose aliases occur; the judge only if there is one."""
@@ -199,38 +200,57 @@ def pack(lengths: list[int], target: int = 640, least: int = 200, most: int = 90
     return out
 
 
-def overlapping(lengths: list[int], target: int = 650, least: int = 250, most: int = 980) -> list[tuple[int, int]]:
-    """(first, last) paragraphs of chunks that share one with the next."""
-    out, first, length = [], 0, 0
-    for i, n in enumerate(lengths):
-        if i > first and length + n > most and length >= least:
-            out.append((first, i - 1))
-            first = i - 1 if i - 1 > first else i
-            length = sum(lengths[first:i])
-        length += n
-        if length >= target and i + 1 < len(lengths):
-            out.append((first, i))
-            first, length = (i, n) if i > first and n < most else (i + 1, 0)
-    if first < len(lengths) and (not out or out[-1][1] < len(lengths) - 1):
-        out.append((first, len(lengths) - 1))
+#: Characters of a retrieval chunk, and its overlap in paragraphs.
+TARGET, CHUNK_LEAST, CHUNK_MOST, OVERLAP = 650, 250, 980, 1
+
+
+def overlapping(lengths: Sequence[int], target: int = TARGET, least: int = CHUNK_LEAST, most: int = CHUNK_MOST) -> list[tuple[int, int]]:
+    """(first, last) paragraphs of chunks that share one with the next.
+
+    A chunk ends with the paragraph that reaches the target, or before it, if that
+    one would take a chunk of the least length over the most.  The next begins
+    with its last paragraph, or behind it if that is the whole chunk; so the last
+    paragraph comes once more alone, where its chunk has others."""
+    total = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    out, first = [], 0
+    while first < len(lengths):
+        last = int(np.searchsorted(total, total[first] + target)) - 1
+        if last >= len(lengths):
+            last = len(lengths) - 1
+        elif total[last + 1] - total[first] > most and total[last] - total[first] >= least:
+            last -= 1
+        last = max(first, last)
+        out.append((first, last))
+        first = last if last > first else last + OVERLAP
     return out
 
 
-def split_long(text: str, long: int = 900, most: int = 520) -> list[str]:
-    """A long paragraph as runs of sentences of a bounded length."""
-    import re
+#: Characters from which a paragraph is split, and of a part at most.
+LONG_PARAGRAPH, PART_MOST = 900, 520
 
-    if len(text) < long:
-        return [text]
-    out, current = [], ""
-    for sentence in re.split(r"(?<=[.!?])\s+", text):
-        joined = f"{current} {sentence}" if current else sentence
-        if len(joined) > most and current:
-            out.append(current)
-            current = sentence
-        else:
-            current = joined
-    return [x for x in [*out, current] if x]
+
+def split_long(text: Column) -> Column:
+    """The parts of a paragraph: whole if it is not long, else runs of sentences."""
+    sentences = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != "")
+
+    def take(parts: Column, sentence: Column) -> Column:
+        last = F.get(parts, F.size(parts) - 1)
+        fits = F.length(last) + 1 + F.length(sentence) <= PART_MOST
+        longer = F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(F.concat_ws(" ", last, sentence)))
+        return F.when(fits, longer).otherwise(F.concat(parts, F.array(sentence)))
+
+    return F.when(F.length(text) < LONG_PARAGRAPH, F.array(text)).otherwise(F.aggregate(sentences, F.array().cast("array<string>"), take))
+
+
+@query(f"""WITH {PARAGRAPHS}, j AS (SELECT id, string_agg(trim(paragraph_text), ' ' ORDER BY paragraph_order) AS t FROM paragraphs GROUP BY id),
+s AS (SELECT id, t, list_filter(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM j),
+r AS (SELECT id, CASE WHEN length(t) < {LONG_PARAGRAPH} THEN [t] ELSE list_reduce(list_transform(s, lambda x: [x]), lambda a, x: CASE WHEN length(a[-1]) + 1 + length(x[1]) <= {PART_MOST} THEN list_concat(a[:-2], [a[-1] || ' ' || x[1]]) ELSE list_concat(a, x) END) END AS p FROM s)
+SELECT id, CAST(len(p) AS BIGINT) AS n_parts, CAST(list_max(list_transform(p, lambda x: length(x))) AS BIGINT) AS longest, md5(array_to_string(p, chr(10))) AS digest FROM r""")
+def long_paragraph_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents merged to one paragraph each, split at sentences again."""
+    rows = paragraphs(decisions(spark, sf_dir)).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("paragraph_order", F.trim("paragraph_text").alias("t")))).alias("all"))
+    parts = rows.select("id", split_long(F.array_join(F.col("all.t"), " ")).alias("p"))
+    return parts.select("id", F.size("p").cast("bigint").alias("n_parts"), F.array_max(F.transform("p", F.length)).cast("bigint").alias("longest"), F.md5(F.array_join("p", "\n")).alias("digest"))
 
 
 @query(f"""WITH RECURSIVE {PARAGRAPHS}, o AS (SELECT id, paragraph_order, length(paragraph_text) AS n, row_number() OVER (PARTITION BY id ORDER BY paragraph_order) AS i FROM paragraphs),
@@ -257,7 +277,11 @@ def greedy_chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("id", "chunk", "n_paragraphs", "n_chars", F.greatest(F.lit(1), F.ceil(F.col("n_chars") / 4.0)).cast("bigint").alias("token_estimate"), warning.alias("warning"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PARAGRAPHS}, o AS (SELECT id, length(paragraph_text) AS n, row_number() OVER (PARTITION BY id ORDER BY paragraph_order) - 1 AS i, count(*) OVER (PARTITION BY id) AS m, sum(length(paragraph_text)) OVER (PARTITION BY id ORDER BY paragraph_order) AS c FROM paragraphs),
+r AS (SELECT a.id, a.i, a.m, a.c - a.n AS base, min(b.i) AS j FROM o AS a LEFT JOIN o AS b ON a.id = b.id AND b.i >= a.i AND b.c >= a.c - a.n + {TARGET} GROUP BY a.id, a.i, a.m, base),
+e AS (SELECT r.id, r.i, r.m, greatest(r.i, CASE WHEN j IS NULL THEN r.m - 1 WHEN o.c - base > {CHUNK_MOST} AND o.c - o.n - base >= {CHUNK_LEAST} THEN j - 1 ELSE j END) AS last FROM r LEFT JOIN o ON o.id = r.id AND o.i = r.j),
+w AS (SELECT id, i, last, m FROM e WHERE i = 0 UNION ALL SELECT e.id, e.i, e.last, e.m FROM w JOIN e ON e.id = w.id AND e.i = CASE WHEN w.last > w.i THEN w.last ELSE w.last + {OVERLAP} END)
+SELECT id, CAST(i AS INTEGER) AS first, CAST(last AS INTEGER) AS last FROM w""")
 def overlap_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval chunks that share a paragraph with the next, and stable ids."""
     rows = paragraphs(decisions(spark, sf_dir)).select("id", "paragraph_order", F.length("paragraph_text").alias("n"))
@@ -272,8 +296,15 @@ def overlap_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ints = T.ArrayType(T.IntegerType())
     found = add_columns(listed, ["lengths"], [T.StructField("first", ints), T.StructField("last", ints)], start, drop=["lengths"])
-    rows = found.select("id", F.inline(F.arrays_zip("first", "last")))
-    return rows.select("id", "first", "last", ex.fnv1a(F.concat_ws(":", F.col("id").cast("string"), F.col("first").cast("string"))).alias("stable_id"))
+    return found.select("id", F.inline(F.arrays_zip("first", "last")))
+
+
+@query(f"""WITH {PARAGRAPHS}, k AS (SELECT id, paragraph_order, id || ':' || paragraph_order AS k FROM paragraphs)
+SELECT id, paragraph_order, lpad(lower(to_hex(list_reduce(list_transform(string_split(k, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::BIGINT))), 8, '0') AS stable_id FROM k""")
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of paragraphs that depend on their document and place only."""
+    rows = paragraphs(decisions(spark, sf_dir))
+    return rows.select("id", "paragraph_order", ex.fnv1a(F.concat_ws(":", F.col("id").cast("string"), F.col("paragraph_order").cast("string"))).alias("stable_id"))
 
 
 @query("""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?i)</(?:p|div|li|h[1-6]|tr)>|<br[^>]*>', chr(10), 'g') AS t FROM pages),

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tessera.functions import citations as ct
@@ -43,7 +45,7 @@ def test_overlap_run(spark):
 
 
 def test_extraction(spark):
-    text = "Case No. T12-9\nIndex Codes: G27, 13, 2021, 1,200, B - 4\nRules and Regulations Section 6.10(a) and section 6.11\nRent Ordinance 37.9(a)(2).\nDated March 5, 2021\nJudge: Erin E. Katayama\ndenied"
+    text = "Case No. T12-9\nIndex Codes: G27, 13, 2021, 1,200, B - 4\nRules and Regulations Section 6.10(a) and section 6.11\nRent Ordinance 37.9(a)(2).\nDated March 5, 2021\nJudge: Mara E. Ellwood\ndenied"
     t = F.col("t")
     assert value(spark, ex.index_codes(t), t=text)[:2] == ["G27", "13"]
     assert "2021" not in value(spark, ex.index_codes(t), t=text)
@@ -77,9 +79,56 @@ def test_packing():
     assert structure.pack([100, 100, 100, 700, 50]) == [0, 0, 0, 1, 2]
     assert structure.pack([700, 10]) == [0, 1]
     assert structure.pack([]) == []
-    assert structure.overlapping([300, 300, 300, 300]) == [(0, 2), (2, 3)]
+    # the last paragraph comes once more alone, where its chunk has others
+    assert structure.overlapping([300, 300, 300, 300]) == [(0, 2), (2, 3), (3, 3)]
+    assert structure.overlapping([700, 100]) == [(0, 0), (1, 1)]
+    # before a paragraph that goes over the most, if the least is there
+    assert structure.overlapping([300, 800, 10]) == [(0, 0), (1, 1), (2, 2)]
+    assert structure.overlapping([200, 900, 10]) == [(0, 1), (1, 1), (2, 2)]
+    assert structure.overlapping([]) == []
     covered = {i for a, b in structure.overlapping([90] * 40) for i in range(a, b + 1)}
     assert covered == set(range(40))
-    long = "A sentence of some words. " * 60
-    parts = structure.split_long(long.strip())
-    assert " ".join(parts) == long.strip() and max(map(len, parts)) <= 520
+
+
+def plain_windows(lengths, target=650, least=250, most=980):
+    """Windows by the stated rule, paragraph after paragraph."""
+    out, first = [], 0
+    while first < len(lengths):
+        size, end = 0, first
+        for n in lengths[first:]:
+            if size + n > most and size >= least:
+                break
+            size, end = size + n, end + 1
+            if size >= target:
+                break
+        end = max(end, first + 1)
+        out.append((first, end - 1))
+        first = end - 1 if end - 1 > first else end
+    return out
+
+
+def test_overlapping_windows_by_the_rule():
+    rng = random.Random(5)
+    for _ in range(2000):
+        lengths = [rng.choice((rng.randint(1, 60), rng.randint(1, 500), rng.randint(1, 1500))) for _ in range(rng.randint(0, 25))]
+        assert structure.overlapping(lengths) == plain_windows(lengths)
+
+
+def test_split_long(spark):
+    long = ("A sentence of some words. " * 60).strip()
+    parts = value(spark, structure.split_long(F.col("t")), t=long)
+    assert " ".join(parts) == long and max(map(len, parts)) <= 520 and len(parts) == 3
+    assert value(spark, structure.split_long(F.col("t")), t="Short. Text.") == ["Short. Text."]
+    assert value(spark, structure.split_long(F.col("t")), t="x" * 1000) == ["x" * 1000]
+
+
+def test_fnv1a_over_utf16_units(spark):
+    def plain(text):
+        h = 0x811C9DC5
+        data = text.encode("utf-16-le")
+        for k in range(0, len(data), 2):
+            h = ((h ^ int.from_bytes(data[k : k + 2], "little")) * 16777619) & 0xFFFFFFFF
+        return f"{h:08x}"
+
+    for t in ("", "a", "é1:2", "x\U0001f600y"):
+        assert value(spark, ex.fnv1a(F.col("t")), t=t) == plain(t)
