@@ -57,3 +57,34 @@ def test_recall_at_given_cosine(spark, cosine, least):
     rows = [(i, list(map(float, v))) for i, v in enumerate(pairs)]
     found = {r.vec_id: r.n_links for r in itq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert sum(found.values()) / 1200 >= least
+
+
+def test_dense_groups_and_their_surroundings(spark):
+    """Two dense groups, one of them with copies, and vectors near them: all links
+    as by brute force, at 1 and at 16 partitions."""
+    rng = np.random.default_rng(7)
+    base = itq.unit(rng.standard_normal((3, 32)))
+    rows = [base[k % 2] + rng.standard_normal(32) * 0.01 for k in range(400)]
+    rows += [base[k % 3] + rng.standard_normal(32) * 0.07 for k in range(60)]
+    rows += list(rng.standard_normal((100, 32))) + rows[:20]
+    data = [(int(i), list(map(float, v))) for i, v in enumerate(rows)]
+    x = itq.unit(np.array(rows))
+    near = x @ x.T >= 0.9
+    want = near.sum(1) - 1
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found = itq.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")).orderBy("vec_id").collect()
+            got = np.array([r.n_links for r in found])
+            assert (got <= want).all() and got.sum() >= 0.98 * want.sum()
+            assert {r.component_id for r in found[:400:2]} == {found[0].component_id}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_tables_grow_with_the_logarithm():
+    for n in (100, 10_000, 10**6, 10**9):
+        t = itq.planned(n, 0.9)
+        assert t.width == max(12, int(np.ceil(np.log2(n)))) and t.width * t.count <= 64 * t.words
+    assert itq.planned(10**9, 0.9).count < 25
