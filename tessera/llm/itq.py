@@ -35,7 +35,7 @@ COSINE = 0.9
 #: Share of pairs of just the least cosine that may meet in no table; least bits of
 #: a table; and standard deviations above the mean distance of the codes of such a
 #: pair up to which pairs are reranked.
-MISSED, LEAST_WIDTH, DEVIATIONS = 0.025, 12, 4.5
+MISSED, LEAST_WIDTH, DEVIATIONS = 0.025, 12, 3.5
 #: Classes beyond which a bucket's groups are looked for, in so many rounds of one
 #: hub a bucket; what they leave is compared as pairs.  Vectors in a block.
 HOT, HUBS, BLOCK = 64, 3, 2048
