@@ -11,8 +11,12 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINTS
+    """The shared folder of the session; a local one only where it is unset and all
+    tasks run on this machine, else an error: other executors couldn't read it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or LOCAL_CHECKPOINTS
 
 
 def _path(spark: SparkSession, name: str):
