@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 _RNG = np.random.default_rng(20240229)
-_BYTES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES = [_RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -37,12 +37,13 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Substrings:
-    """Constant-time substring hashes of one byte string."""
+    """Constant-time substring hashes of one byte string, in one of two families
+    that have nothing in common."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, family: int = 0):
         up, self._down = _power_tables(len(data) + 1)
         self._sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTES[data] * up[: len(data)], out=self._sums[1:])
+        np.cumsum(_BYTES[family][data] * up[: len(data)], out=self._sums[1:])
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Of data[start:end]; the lengths take part."""

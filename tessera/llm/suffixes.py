@@ -6,20 +6,22 @@ place, so it is enough to sort the suffixes that start at such anchors:
 
 1. Initial buckets: the q-grams at all anchors.  A bucket with one suffix can
    hold no repeat.
-2. Refinement: suffixes are sorted on (bucket, bucket of the strings at other
-   offsets from the anchor); neighbours in sorted order that agree share the
-   finer bucket.  First the bytes around the anchor that all strings through it
-   lie in: equal ones repeat as a whole.  Where only some strings through the
-   anchor may repeat, the same sort runs on blocks of offsets - the core that
-   all strings of a block share, then their union - and for blocks that stay
-   open on single offsets.  Each step reuses the buckets of the one before, and
-   takes only the suffixes that it left open, and of each finer bucket beside
-   them one or two as witnesses of its string.
-
-A bucket identifier is the hash of the string, so no step depends on a global
-numbering, and the sort is by ranges of (bucket, finer bucket, text, offset):
-buckets of any size spread over tasks evenly, and only the first and last row of
-each task meet on the driver.
+2. Refinement: suffixes are sorted on (bucket, finer bucket); neighbours in sorted
+   order that agree share the finer bucket.  The identifier of a longer string's
+   bucket is made of the identifiers of the q-grams at its later offsets.  First
+   come the bytes around the anchor that all strings through it lie in: equal
+   ones repeat as a whole.  Where only some strings through the anchor may
+   repeat, the same sort runs on blocks of offsets - the core that all strings
+   of a block share, then their union - and for blocks that stay open on single
+   offsets.  Each step reuses the buckets of the one before, and takes only the
+   suffixes that it left open, and of each finer bucket beside them one or two
+   as witnesses of its string.
+
+An identifier depends on the string alone, so no step needs a global numbering,
+and the sort is by ranges of (bucket, finer bucket, text, offset): buckets of any
+size spread over tasks evenly, and only the first and last row of each task meet
+on the driver.  Strings count as equal if two 64-bit hashes without anything in
+common agree, that of the bucket and that of the finer one.
 """
 
 from __future__ import annotations
@@ -51,6 +53,17 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
+def _pointed(grams: np.ndarray, gram: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Identifiers of data[low:high], no shorter than a q-gram, from the q-grams at
+    low and every gram bytes behind it, the last one at the end."""
+    size = high - low
+    out = mix(size.astype(np.uint64))
+    for begin in range(0, int(size.max(initial=0)), gram):
+        at = np.minimum(low + begin, high - gram)
+        out = np.where(size > begin, mix(out * np.uint64(0x9FB21C651E98DF25) + grams[at]), out)
+    return out
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, np.uint64).view(np.int64)
 
@@ -143,7 +156,7 @@ def _anchors(length: int, gram: int) -> Callable:
                 low, high = np.maximum(0, at + gram - length), np.minimum(len(data), at + length)
                 ats.append(at)
                 buckets.append(_signed(grams[at]))
-                finer.append(_signed(sums.hashes(low, high) ^ mix((at - low).astype(np.uint64))))
+                finer.append(_signed(Substrings(data, 1).hashes(low, high) ^ mix((at - low).astype(np.uint64))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(ats, pa.int32()), _lists(buckets, pa.int64()), _lists(finer, pa.int64())], names=["text_key", "n_bytes", "at", "bucket", "finer"])
 
     return run
@@ -177,9 +190,8 @@ def _blocks(length: int, gram: int, block: int) -> Callable:
                 inside = (high >= 0) & (low + length <= n)
                 # anchors a multiple of a block apart name the same block twice
                 high, low = np.unique(np.stack([high[inside], low[inside]]), axis=1) if inside.any() else (high[inside], low[inside])
-                sums = Substrings(data)
-                core = sums.hashes(high, low + length) if len(high) else np.zeros(0, np.uint64)
-                core = mix(core + (high - low).astype(np.uint64))
+                core = mix(_pointed(Substrings(data).windows(gram), gram, high, low + length) + (high - low).astype(np.uint64))
+                sums = Substrings(data, 1)
                 union = np.empty(len(high), np.uint64)
                 whole = (low >= 0) & (high + length <= n)
                 union[whole] = sums.hashes(low[whole], high[whole] + length)
@@ -203,29 +215,32 @@ def _blocks(length: int, gram: int, block: int) -> Callable:
     return run
 
 
-def _offsets(length: int) -> Callable:
-    """From the open blocks of a text, as (low, high), and its pieces: the hash
-    of the string at every start in a block."""
+def _offsets(length: int, gram: int) -> Callable:
+    """From the open blocks of a text, as (low, high), and its pieces: the bucket
+    and the finer bucket of the string at every start in a block."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             names = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            ats, hashes = [], []
+            ats, buckets, finer = [], [], []
             for n, high, low, start, piece in zip(names["n_bytes"], names["high"], names["low"], names["start"], names["piece"], strict=True):
                 n, high, low = n.as_py(), np.array(high.as_py()), np.array(low.as_py())
                 want = np.zeros(n + 2, np.int32)
                 np.add.at(want, np.maximum(low, 0), 1)
                 np.add.at(want, np.minimum(high, n - length) + 1, -1)
                 at = np.flatnonzero(np.cumsum(want) > 0)
-                found = np.empty(len(at), np.uint64)
+                found, second = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
                 for s, p in zip(start.as_py(), piece.as_py(), strict=True):
                     here = slice(*np.searchsorted(at, [s, s + len(p) - length + 1]))
                     own = at[here] - s
                     if len(own):
-                        found[here] = Substrings(np.frombuffer(p, np.uint8)).hashes(own, own + length)
+                        data = np.frombuffer(p, np.uint8)
+                        found[here] = _pointed(Substrings(data).windows(gram), gram, own, own + length)
+                        second[here] = Substrings(data, 1).hashes(own, own + length)
                 ats.append(at)
-                hashes.append(_signed(found))
-            yield pa.RecordBatch.from_arrays([names["text_key"], names["n_bytes"], _lists(ats, pa.int32()), _lists(hashes, pa.int64())], names=["text_key", "n_bytes", "at", "bucket"])
+                buckets.append(_signed(found))
+                finer.append(_signed(second))
+            yield pa.RecordBatch.from_arrays([names["text_key"], names["n_bytes"], _lists(ats, pa.int32()), _lists(buckets, pa.int64()), _lists(finer, pa.int64())], names=["text_key", "n_bytes", "at", "bucket", "finer"])
 
     return run
 
@@ -271,11 +286,10 @@ def repeated_runs(docs: DataFrame, text: str = "text", length: int = LENGTH, gra
     )
     release(opened, table)
     still = judged.where(F.size("low") > 0).select("text_key", "n_bytes", "high", "low", "start", "piece")
-    single = settle(still.mapInArrow(_offsets(length), f"{_KEY}, at array<int>, bucket array<long>"))
-    singles = single.select("text_key", "n_bytes", F.inline(F.arrays_zip("at", "bucket"))).withColumn("finer", F.lit(0).cast("long"))
-    shared, _ = shared_buckets(singles)
+    single = settle(still.mapInArrow(_offsets(length, gram), f"{_KEY}, at array<int>, bucket array<long>, finer array<long>"))
+    shared, _ = shared_buckets(single.select("text_key", "n_bytes", F.inline(F.arrays_zip("at", "bucket", "finer"))))
     release(single)
-    last = shared.groupBy("text_key", "n_bytes").agg(F.collect_set("at").alias("singles"))
+    last = shared.where("repeats").groupBy("text_key", "n_bytes").agg(F.collect_set("at").alias("singles"))
     return judged.select("text_key", "n_bytes", "from", "to", "yes_low", "yes_high").join(last, ["text_key", "n_bytes"], "left")
 
 
@@ -288,12 +302,17 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, g
     All copies of a string go, the first one too; strings are judged on the
     input.  A null text counts as empty: 0 bytes, nothing removed.  Texts shorter
     than ``length`` are kept whole.  Rows that repeat in full are texts that
-    repeat.  Columns of docs with these names are replaced.
+    repeat.  Columns of docs with these names are replaced, all others kept,
+    whatever their names.  A text of any length is read whole, by one task; an
+    empty table gives no rows.
     """
-    runs = repeated_runs(docs, text, length, gram, block)
-    marks = runs.select(F.col("text_key").alias("__mark_key"), F.col("n_bytes").alias("__mark_bytes"), F.struct("from", "to", "yes_low", "yes_high", "singles").alias("__marks"))
-    keyed = docs.withColumns({"__own_key": F.xxhash64(text), "__own_bytes": F.octet_length(text)})
-    joined = keyed.join(marks, (F.col("__own_key") == F.col("__mark_key")) & (F.col("__own_bytes") == F.col("__mark_bytes")), "left").drop("__own_key", "__own_bytes", "__mark_key", "__mark_bytes")
+    marks = repeated_runs(docs, text, length, gram, block).select("text_key", "n_bytes", F.struct("from", "to", "yes_low", "yes_high", "singles").alias("marks"))
+    fields = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.StringType() if decode else T.BinaryType())]
+    names = [c for c in docs.columns if c == text or c.lower() not in {f.name for f in fields}]
+    # docs' own columns travel in a struct without their names
+    own = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != text])
+    rows = docs.select(own.alias("own"), F.col(f"`{text}`").alias("text"), F.xxhash64(text).alias("text_key"), F.octet_length(text).alias("n_bytes"))
+    joined = rows.join(marks, ["text_key", "n_bytes"], "left").select("own", "text", "marks")
 
     def start() -> Callable:
         def compute(texts: pa.Array, marks: pa.Array) -> list:
@@ -317,5 +336,6 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, g
 
         return compute
 
-    fields = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.StringType() if decode else T.BinaryType())]
-    return add_columns(joined, [text, "__marks"], fields, start, drop=["__marks", *([text] if drop_text else [])])
+    found = add_columns(joined, ["text", "marks"], fields, start, drop=["marks", *(["text"] if drop_text else [])])
+    kept = [F.col("text").alias(c) if c == text else F.col(f"own.c{i}").alias(c) for i, c in enumerate(names) if c != text or not drop_text]
+    return found.select(*kept, *[f.name for f in fields])
