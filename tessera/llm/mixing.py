@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.copies import numbered
 from tessera.plans.lineage import settle
 
 WEIGHTS = (5, 2, 1)
@@ -66,12 +67,18 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     if that is null), size, source_size, target and ``taken``, the words that the
     mix takes with repeats, at most ``repeats`` times the size.
 
-    A null text has no words and is never taken; null is a source of its own.
-    Rows equal in key and text rank by nothing else, so reruns agree.
+    A null text has no words and is never taken; null is a source of its own.  A
+    document's place hangs on its key, its text and, of rows equal in these, its
+    number, so neither null nor repeated keys nor repeated rows gather in a shard.
+    Equal rows can't be told apart, so reruns agree.  Further columns of docs are
+    not returned; an empty table gives no rows.
     """
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    rows = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.md5(text).alias("text_hash"), n_words(text).alias("size"))
+    rows = settle(rows.groupBy("key", "source", "text_hash", "size").agg(F.count("*").alias("copies")))
+    empty = F.lit("")
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("key").cast("string"), empty), F.coalesce("text_hash", empty), F.col("nth").cast("string")))
     number = lambda at: F.conv(F.substring(digest, at, 12), 16, 10).cast("long")
-    sizes = settle(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.md5(text).alias("text_hash"), n_words(text).alias("size"), number(1).alias("where"), number(13).alias("order")))
+    sizes = settle(numbered(rows, "copies", "nth").drop("copies").select("*", number(1).alias("where"), number(13).alias("order")))
     sources = source_targets(sizes, weights, total, repeats)
     everything = Window.partitionBy(F.lit(0))
     shards = F.greatest(F.lit(1.0), F.ceil(F.sum("source_size").over(everything) / shard))
@@ -102,7 +109,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     words = F.least(F.coalesce(F.col("quota"), F.lit(0)) * block, repeats * F.col("part"))
     parts = parts.select("shard", "place", "part", words.alias("words"))
     rows = rows.join(parts, ["shard", "place"])
-    earlier = Window.partitionBy("shard", "place").orderBy("order", "key", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("shard", "place").orderBy("order", "key", "size", "text_hash", "nth").rowsBetween(Window.unboundedPreceding, -1)
     rounds = F.expr("words DIV greatest(part, 1)")
     rest = F.col("words") - rounds * F.col("part") - F.coalesce(F.sum("size").over(earlier), F.lit(0))
     taken = rounds * F.col("size") + F.least(F.greatest(rest, F.lit(0)), F.col("size"))
@@ -118,19 +125,20 @@ def first_words(text: str, n: str):
 def mixed_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **parameters) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken in full, and once
     more with its first words for the rest; rows with nothing taken are left out.
-    Of rows equal in key, source and text, one stands for all.
+    Of rows equal in key, source and text, one stands for all.  All columns of docs
+    are kept, whatever their names.
     """
-    names = ["__key", "__source", "__hash"]
-    taken = mix(docs, key, text, source, **parameters).toDF(*names, "__size", "__of", "__target", "__taken")
-    taken = taken.groupBy(*names).agg(F.sum("__taken").alias("__taken"), F.min("__size").alias("__size"), F.count("*").alias("__n")).where("__taken > 0")
-    rows = docs.withColumn("__md5", F.md5(text))
-    same = rows[key].eqNullSafe(taken["__key"]) & rows[source].eqNullSafe(taken["__source"]) & (rows["__md5"] == taken["__hash"])
-    rows = rows.join(taken, same).drop("__md5")
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns], "__taken", "__size")
-    several = rows.where("__n > 1").groupBy(*names).agg(F.first(own).alias("__row")).select("__row.*")
-    rows = rows.where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns], "__taken", "__size").unionByName(several)
-    rows = rows.withColumn("__remainder", F.col("__taken") % F.col("__size"))
-    full = F.array_repeat(F.col(text), F.expr("__taken DIV __size").cast("int"))
-    last = F.when(F.col("__remainder") > 0, F.array(first_words(text, "__remainder"))).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("__texts", F.concat(full, last)).drop(text)
-    return rows.select("*", F.explode("__texts").alias(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = mix(docs, key, text, source, **parameters).toDF("key", "source", "hash", "size", "of", "target", "taken")
+    taken = taken.groupBy("key", "source", "hash").agg(F.sum("taken").alias("taken"), F.min("size").alias("size"), F.count("*").alias("n")).where("taken > 0")
+    # docs' own columns travel in a struct without their names
+    own = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text])
+    rows = docs.select(own.alias("own"), F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("own_key"), F.col(f"`{source}`").alias("own_source"), F.md5(text).alias("own_hash"))
+    same = F.col("own_key").eqNullSafe(F.col("key")) & F.col("own_source").eqNullSafe(F.col("source")) & (F.col("own_hash") == F.col("hash"))
+    rows = rows.join(taken, same)
+    names = ["own", "text", "taken", "size"]
+    several = rows.where("n > 1").groupBy("key", "source", "hash").agg(F.first(F.struct(*names)).alias("row")).select("row.*")
+    rows = rows.where("n = 1").select(*names).unionByName(several).withColumn("rest", F.col("taken") % F.col("size"))
+    full = F.array_repeat("text", F.expr("taken DIV size").cast("int"))
+    last = F.when(F.col("rest") > 0, F.array(first_words("text", "rest"))).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("own", F.explode(F.concat(full, last)).alias("text"))
+    return rows.select(*[F.col("text").alias(c) if c == text else F.col(f"own.c{i}").alias(c) for i, c in enumerate(docs.columns)])

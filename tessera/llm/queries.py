@@ -26,9 +26,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without its repeated 400-byte strings."""
+    """What is left of every document without its repeated 400-byte strings; in
+    ``text``, bytes of characters that a cut went through are replaced."""
     found = suffixes.without_repeats(_documents(spark, sf_dir, "doc_id", "text"), drop_text=True)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.expr("make_valid_utf8(CAST(kept AS STRING))").alias("text"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +96,9 @@ _B, _R = mixing.BLOCK, mixing.REPEATS
 _MIX = f"""
 WITH z AS (
   SELECT doc_id, source, md5(text) AS th, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5(concat_ws(':', '{mixing.SEED}', coalesce(CAST(doc_id AS VARCHAR), ''))) AS h FROM documents),
-d AS (SELECT doc_id, source, th, size, CAST('0x' || h[1:12] AS BIGINT) AS at, CAST('0x' || h[13:24] AS BIGINT) AS ord FROM z),
+         row_number() OVER (PARTITION BY doc_id, source, md5(text)) - 1 AS nth FROM documents),
+zh AS (SELECT *, md5(concat_ws(':', '{mixing.SEED}', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(th, ''), CAST(nth AS VARCHAR))) AS h FROM z),
+d AS (SELECT doc_id, source, th, size, nth, CAST('0x' || h[1:12] AS BIGINT) AS at, CAST('0x' || h[13:24] AS BIGINT) AS ord FROM zh),
 s0 AS (SELECT source, CAST(sum(size) AS DOUBLE) AS ss, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS place FROM d GROUP BY source),
 s1 AS (SELECT *, CAST([5, 2, 1][place % 3 + 1] AS DOUBLE) AS w, 2.0::DOUBLE * ss AS cap FROM s0),
 s2 AS (SELECT *, 1.5::DOUBLE * sum(ss) OVER () AS total, coalesce(sum(cap) OVER b, 0) AS cb, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS wl
@@ -114,7 +116,7 @@ q0 AS (SELECT shard, place, want, blocks, unnest(range(0, CAST(floor(f * blocks)
 q1 AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY want / (2 * k + 1) DESC, place, k) AS rank FROM q0),
 q AS (SELECT shard, place, count(*) AS quota FROM q1 WHERE rank <= blocks GROUP BY shard, place),
 x AS (SELECT p3.shard, p3.place, CAST(part AS BIGINT) AS part, least(coalesce(quota, 0) * {_B}, {_R} * CAST(part AS BIGINT)) AS words FROM p3 LEFT JOIN q USING (shard, place)),
-y AS (SELECT r.*, x.part, x.words, coalesce(sum(size) OVER (PARTITION BY r.shard, r.place ORDER BY ord, doc_id NULLS FIRST, size, th NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum
+y AS (SELECT r.*, x.part, x.words, coalesce(sum(size) OVER (PARTITION BY r.shard, r.place ORDER BY ord, doc_id NULLS FIRST, size, th NULLS FIRST, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum
       FROM r JOIN x ON r.shard = x.shard AND r.place = x.place)
 SELECT doc_id, size, CAST(ss AS BIGINT) AS source_size, target,
        CAST((words // greatest(part, 1)) * size + least(greatest(words - (words // greatest(part, 1)) * part - cum, 0), size) AS BIGINT) AS taken

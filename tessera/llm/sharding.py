@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.copies import numbered
 from tessera.plans.lineage import settle
 
 #: Bits of the hash.
@@ -37,7 +38,9 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text
     equal in both can't be told apart by any hash; where they alone exceed the
     limit, they fill the pages 0, 1, ... of their prefix, as many in each as
     fit, one at least.  Only a single text above the limit makes a page larger.
-    A null text has 0 bytes; a null key hashes as an empty one.
+    A null text has 0 bytes; a null key hashes as an empty one.  Further columns
+    of docs are not returned; texts of any length are read whole, and an empty
+    table gives no rows.
     """
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
     digest = F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))))
@@ -62,12 +65,11 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text
             break
         live = settle(live.withColumn("cell", _prefix(deeper)).join(directory, "cell", "left_anti").drop("cell"))
         depth = deeper
-    rows = reduce(DataFrame.unionByName, placed)
+    rows = settle(reduce(DataFrame.unionByName, placed))
     each = F.greatest(F.lit(1), F.expr(f"{limit} DIV greatest(n_bytes, 1)"))
     alone = F.col("copies") * F.col("n_bytes") == F.col("shard_bytes")
-    number = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
     return (
-        rows.select("*", number.alias("nth"))
+        numbered(rows, "copies", "nth")
         .withColumn("page", F.when(alone & (F.col("shard_bytes") > limit), F.expr("nth") / each).otherwise(0).cast("long"))
         .select(F.col("key").alias(key), "n_bytes", "depth", "prefix", "page", "shard_bytes")
     )
