@@ -1,10 +1,12 @@
 """Quality rules: counts, and the divergence of a text's character classes and
 common words from language references.
 
-References are the summed histograms of all documents of a language.  A text is
-judged against the closest language by Jensen-Shannon distance (the square root
-of the divergence to base 2, from 0 to 1); the common words only if it has
-enough words for a histogram.
+References are the mean histograms of all documents of a language, so that no long
+one outweighs the others.  A text is judged against one language, the closest by
+the sum of its Jensen-Shannon distances (the square root of the divergence to
+base 2, from 0 to 1); the common words only if it has enough words for a
+histogram.  Words of languages without a list in COMMON share one bin, so those
+are told apart by their characters.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from tessera.plans.arrow import add_columns
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Largest Jensen-Shannon distances of a kept text.
 MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.25, 0.5
+#: Parts of a document's weight that are counted, and languages at most.
+UNITS, MOST_LANGUAGES = 1_000_000, 1000
 #: Words and characters below which a histogram is not judged.
 LEAST_FOR_WORDS, LEAST_FOR_CLASSES = 50, 100
 
@@ -112,8 +116,10 @@ def distance(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Class and word histograms of each language, over all its rows; as many
-    numbers for each language at any input size."""
+    """Class and word histograms of each language, over all its rows, each of weight
+    1 in each (UNITS of it are counted); as many numbers for each language at any
+    input size.  More than MOST_LANGUAGES distinct labels are an error: the
+    references go to every task."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
@@ -123,13 +129,16 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[
                 number, ids = _numbered(t)
                 words = word_histogram(number, np.bincount(ids, minlength=len(number)))
                 sums = found.setdefault(of, np.zeros(CLASSES + WORD_BINS))
-                sums[:CLASSES] += class_histogram(t)
-                sums[CLASSES:] += words
+                for own, part in ((class_histogram(t), slice(0, CLASSES)), (words, slice(CLASSES, None))):
+                    if own.sum():
+                        sums[part] += np.rint(own * (UNITS / own.sum()))
         for of, sums in found.items():
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array([of] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(sums[at].astype(np.int64))], names=["lang", "bin", "n"])
 
     known = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    if known.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     out: dict[str, np.ndarray] = {}
     for r in known.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect():
         out.setdefault(r.lang, np.zeros(CLASSES + WORD_BINS))[r.bin] = r.n
@@ -152,13 +161,11 @@ def judge(text: str | None, known: dict[str, tuple[np.ndarray, np.ndarray]]) ->
     n = len(ids)
     chars, symbols, copies, repeated = base_counts(text, number, ids)
     failed = n < LEAST_WORDS or 100 * repeated > MOST_REPEATED * n
-    classes = words = None
-    if known and len(text) >= LEAST_FOR_CLASSES:
-        own = class_histogram(text)
-        classes = min(distance(own, c) for c, _ in known.values())
-    if known and n >= LEAST_FOR_WORDS:
-        own = word_histogram(number, np.bincount(ids, minlength=len(number)))
-        words = min(distance(own, w) for _, w in known.values())
+    own_classes = class_histogram(text) if len(text) >= LEAST_FOR_CLASSES else None
+    own_words = word_histogram(number, np.bincount(ids, minlength=len(number))) if n >= LEAST_FOR_WORDS else None
+    of = lambda own, reference: None if own is None else distance(own, reference)
+    each = [(of(own_classes, c), of(own_words, w)) for c, w in known.values()]
+    classes, words = min(each, key=lambda d: (d[0] or 0) + (d[1] or 0)) if each else (None, None)
     kept = not failed and (classes is None or classes <= MOST_CLASS_DISTANCE) and (words is None or words <= MOST_WORD_DISTANCE)
     return n, chars, symbols, copies, repeated, failed, classes, words, kept
 
