@@ -4,8 +4,8 @@ The vocabulary must number its merges in order (token 256 + k is merge k), as
 byte-level vocabularies commonly do.  An Aho-Corasick automaton over the reversed
 tokens names, for every position of a pre-token, all tokens that start there.
 The encoder walks from the left, takes the longest token whose pair with its
-predecessor could stand side by side in a finished encoding, and steps back where
-none can; each position is given up at most once, so the work is linear.  The
+predecessor could stand side by side in a finished encoding, by a table of pairs
+that fills as they occur, goes on to shorter ones, and steps back where none can; each position is given up at most once, so the work is linear.  The
 result is the one that applying the merges by rank would give.
 """
 
@@ -33,6 +33,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 REMEMBERED = 140_000
 
 
+#: Pairs of tokens in a worker's table of those that may stand side by side; a full
+#: one starts anew.
+PAIRS = 1 << 19
+
+
 def _byte_letters() -> dict[str, int]:
     """The printable stand-in of each byte in vocabulary files: itself if it is
     a visible Latin-1 character, else the next free one from 256 on."""
@@ -85,6 +90,15 @@ class BytePairs:
         if any(len(pieces[i]) != 1 for i in single) or ranks != sorted(ranks) or (ranks and max(single) > ranks[0]):
             raise ValueError("the vocabulary doesn't number its merges in order")
 
+        numbers = {piece: number for number, piece in pieces.items()}
+        # of each token, the next shorter one that begins it, or -1
+        self._shorter = [-1] * size
+        for piece, number in numbers.items():
+            for k in range(len(piece) - 1, 0, -1):
+                if piece[:k] in numbers:
+                    self._shorter[number] = numbers[piece[:k]]
+                    break
+        self._pairs: dict[int, bool] = {}
         self._starts = ahocorasick.Automaton()
         for number, piece in pieces.items():
             self._starts.add_word(piece[::-1].decode("latin-1"), number)
@@ -104,6 +118,16 @@ class BytePairs:
         self._older: dict[str, tuple[bytes, str]] = {}
 
     def _compatible(self, left: int, right: int) -> bool:
+        """The table of pairs that may stand side by side, filled as they occur."""
+        key = left * len(self._sizes) + right
+        found = self._pairs.get(key)
+        if found is None:
+            if len(self._pairs) >= PAIRS:
+                self._pairs.clear()
+            found = self._pairs[key] = self._stand(left, right)
+        return found
+
+    def _stand(self, left: int, right: int) -> bool:
         """Whether merging left and right's common bytes by rank leaves the
         border between these two tokens open.
 
@@ -139,32 +163,27 @@ class BytePairs:
     def encode_piece(self, piece: bytes) -> list[int]:
         """The tokens of one pre-token."""
         n = len(piece)
-        choices: list[list[int]] = [[] for _ in range(n)]
+        longest = array("i", [-1]) * n  # at each place; shorter ones follow by their links
         for end, number in self._starts.iter(piece[::-1].decode("latin-1")):
-            choices[n - 1 - end].append(number)  # longest first
-        sizes, compatible = self._sizes, self._compatible
+            if longest[n - 1 - end] < 0:
+                longest[n - 1 - end] = number
+        sizes, shorter, compatible = self._sizes, self._shorter, self._compatible
         dead = bytearray(n + 1)
-        taken: list[int] = []
-        tried = [0] * (n + 1)
-        at = 0
+        taken = array("i")
+        at, token = 0, longest[0] if n else -1
         while at < n:
-            own = choices[at]
-            k = tried[at]
-            while k < len(own):
-                after = at + sizes[own[k]]
-                if not dead[after] and (not taken or compatible(taken[-1], own[k])):
-                    break
-                k += 1
-            if k < len(own):
-                tried[at] = k
-                taken.append(own[k])
-                at = after
-                tried[at] = 0
+            while token >= 0 and (dead[at + sizes[token]] or taken and not compatible(taken[-1], token)):
+                token = shorter[token]
+            if token >= 0:
+                taken.append(token)
+                at += sizes[token]
+                token = longest[at] if at < n else -1
             else:
                 dead[at] = 1
-                at -= sizes[taken.pop()]
-                tried[at] += 1
-        return taken
+                last = taken.pop()
+                at -= sizes[last]
+                token = shorter[last]
+        return taken.tolist()
 
     def _entry(self, ids: list[int]) -> tuple[bytes, str]:
         decimals = self._decimals
