@@ -25,8 +25,9 @@ from tessera.plans.arrow import add_columns
 SLOTS = 1 << 14
 #: n-gram lengths, in characters.
 LENGTHS = (1, 2, 3)
-#: Expected labelled rows per language in the sample for the fit.
-SAMPLE = 800
+#: Expected labelled rows per language in the sample for the fit, and languages at
+#: most: the model has a weight for each slot and language.
+SAMPLE, MOST_LANGUAGES = 800, 1000
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
@@ -106,9 +107,8 @@ def fit(
 ) -> Model:
     """Follow the regularised leader, one row at a time; each fifth row only
     sets the temperature."""
-    shape = (len(idf), len(languages))
+    shape = (len(idf) + 1, len(languages))  # the last slot, always 1, is the bias
     z, squares = np.zeros(shape), np.zeros(shape)
-    bias = np.zeros(len(languages))
     rng = np.random.default_rng(seed)
 
     def lazy(at: np.ndarray) -> np.ndarray:
@@ -121,15 +121,16 @@ def fit(
     for _ in range(epochs):
         for k in rng.permutation(len(train)):
             at, x, label = train[k]
+            at, x = np.append(at, len(idf)), np.append(x, 1.0)
             w = lazy(at)
-            error = softmax(x @ w + bias)
+            error = softmax(x @ w)
             error[label] -= 1
             g = np.outer(x, error)
             old = squares[at]
             squares[at] = old + g * g
             z[at] += g - (np.sqrt(squares[at]) - np.sqrt(old)) / alpha * w
-            bias -= 0.02 * error
-    model = Model(languages, idf, lazy(np.arange(len(idf))).astype(np.float32), bias)
+    weights = lazy(np.arange(len(idf) + 1)).astype(np.float32)
+    model = Model(languages, idf, weights[:-1], weights[-1])
     if held:
         scores = np.array([model.logits(at, x) for at, x, _ in held])
         truth = np.array([label for *_, label in held])
@@ -150,9 +151,12 @@ def fit(
 def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
     """A model of the rows with text and label.  Document frequencies cover all
     of them; the fit takes about ``sample`` rows for each label, chosen by a
-    hash of the key."""
+    hash of the key.  More than MOST_LANGUAGES distinct labels are an error."""
     known = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("string").alias("label")).where("text is not null and label is not null")
 
+    if known.select("label").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+
     def frequencies(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         df, n = np.zeros(SLOTS, np.int64), {}
         for batch in batches:
