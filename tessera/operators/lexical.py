@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
@@ -65,16 +65,19 @@ def document_frequency(postings_: DataFrame) -> DataFrame:
 
 def bm25(chunks: DataFrame, terms: Sequence[str], k1: float = K1, b: float = B) -> DataFrame:
     """(chunk_id, score) of the chunks with any of the terms.  Only the terms'
-    postings are shuffled, and kept, for their frequencies; the totals are one row."""
+    postings are shuffled, and kept, for their frequencies; the corpus is scanned
+    once, and its totals are observed on the way."""
     words = tx.tokens(F.concat_ws(" ", "section_label", "chunk_text"))
+    totals = Observation()
     sized = chunks.select("chunk_id", words.alias("words")).withColumn("length", F.size("words"))
-    totals = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    sized = sized.observe(totals, F.count("*").alias("n"), F.sum("length").alias("words"))
     hits = sized.where(F.arrays_overlap("words", F.array(*map(F.lit, terms)))).select("chunk_id", "length", F.explode("words").alias("token"))
     hits = settle(hits.where(F.col("token").isin(*terms)).groupBy("chunk_id", "length", "token").agg(F.count("*").alias("tf")))
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "token").crossJoin(F.broadcast(totals))
-    idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    scored = hits.join(F.broadcast(df), "token")
+    n, mean = totals.get["n"], (totals.get["words"] or 0) / max(totals.get["n"], 1)
+    idf = F.log(F.lit(1.0) + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(mean)))
     return scored.groupBy("chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
@@ -129,8 +132,9 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def and_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relaxed conjunction: the chunks of the highest tier that has any."""
-    found = matched_groups(tb.chunks(tb.decisions(spark, sf_dir)), GROUPS).where("matched >= 2").select("chunk_id", "document_id", "matched")
+    """Relaxed conjunction: the chunks of the highest tier that has any.  The corpus
+    is scanned once; of the hits, three numbers each are kept."""
+    found = settle(matched_groups(tb.chunks(tb.decisions(spark, sf_dir)), GROUPS).where("matched >= 2").select("chunk_id", "document_id", "matched"), narrow=True)
     top = found.agg(F.max("matched").alias("tier"))
     return found.join(F.broadcast(top), found["matched"] == top["tier"]).select("chunk_id", "document_id", "tier")
 

@@ -367,11 +367,19 @@ def min_id_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", "doc_id", "text").groupBy(F.md5("text").alias("key")).agg(F.min("doc_id").alias("kept"), F.count("*").alias("n"))
 
 
-@query("""SELECT p_brand AS family, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS options, count(*) AS n FROM part WHERE contains(lower(p_name), '1') AND p_size <= 5 GROUP BY p_brand""")
+#: Options of a family that a menu shows.
+MENU = 200
+
+
+@query(f"""SELECT p_brand AS family, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) FILTER (WHERE rn <= {MENU}) AS options, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part WHERE contains(lower(p_name), '1') AND p_size <= 5) GROUP BY p_brand""")
 def options_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first options of each family, and how many it has; the rank is cut
+    before it is shuffled."""
     rows = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_name", "p_size").where(F.contains(F.lower("p_name"), F.lit("1")) & (F.col("p_size") <= 5))
-    found = rows.groupBy(F.col("p_brand").alias("family")).agg(F.array_sort(F.collect_list("p_partkey")).alias("keys"), F.count("*").alias("n"))
-    return found.select("family", F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("options"), "n")
+    w = Window.partitionBy("p_brand").orderBy("p_partkey")
+    shown = rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= MENU).groupBy(F.col("p_brand").alias("family")).agg(F.array_sort(F.collect_list("p_partkey")).alias("keys"))
+    counts = rows.groupBy(F.col("p_brand").alias("family")).agg(F.count("*").alias("n"))
+    return shown.join(counts, "family").select("family", F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("options"), "n")
 
 
 # ---- windows ---------------------------------------------------------------
@@ -440,11 +448,20 @@ def streaks_and_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("document_id").agg(F.max("run").alias("longest"), F.sum("run").alias("total"), F.round(F.sum("run") / 300.0, 6).alias("share"))
 
 
-@query(f"""WITH {CHUNKS}, f AS (SELECT chunk_id, md5(lower(left(chunk_text, 40))) AS fingerprint FROM chunks), m AS (SELECT fingerprint, min(chunk_id) AS first FROM f GROUP BY fingerprint)
+#: What a fingerprint leaves out, and its characters.
+CASE_MENTIONS, FINGERPRINT = (r"\b(?:case\s+no\.?|no\.?)\s*[a-z]?\d+\b", r"\be\d+\b"), 180
+
+
+@query(f"""WITH {CHUNKS}, f AS (SELECT chunk_id, md5(left(trim(regexp_replace(regexp_replace(regexp_replace(lower(chunk_text), '{CASE_MENTIONS[0]}', ' ', 'g'), '{CASE_MENTIONS[1]}', ' ', 'g'), '\\s+', ' ', 'g')), {FINGERPRINT})) AS fingerprint FROM chunks), m AS (SELECT fingerprint, min(chunk_id) AS first FROM f GROUP BY fingerprint)
 SELECT chunk_id, CASE WHEN chunk_id = first THEN 0.0::DOUBLE ELSE -0.26::DOUBLE END AS demotion FROM f JOIN m USING (fingerprint)""")
 def fingerprint_demotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Later rows with an earlier one's fingerprint lose 0.26."""
-    rows = chunks(decisions(spark, sf_dir)).select("chunk_id", F.md5(F.lower(F.substring("chunk_text", 1, 40))).alias("fingerprint"))
+    """Later rows with an earlier one's fingerprint lose 0.26: its first characters
+    without case numbers, as the rule has it."""
+    plain = F.lower("chunk_text")
+    for mention in CASE_MENTIONS:
+        plain = F.regexp_replace(plain, mention, " ")
+    plain = F.substring(F.trim(F.regexp_replace(plain, r"\s+", " ")), 1, FINGERPRINT)
+    rows = chunks(decisions(spark, sf_dir)).select("chunk_id", F.md5(plain).alias("fingerprint"))
     first = rows.groupBy("fingerprint").agg(F.min("chunk_id").alias("first"))
     return rows.join(first, "fingerprint").select("chunk_id", F.when(F.col("chunk_id") == F.col("first"), 0.0).otherwise(-0.26).alias("demotion"))
 

@@ -57,9 +57,12 @@ def query_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def best_similarity(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(vec_id, similarity): the best over the query's variants, from 0 to 1."""
-    pairs = vectors.crossJoin(F.broadcast(queries.select("q"))).select("vec_id", cosine(F.col("embedding"), F.col("q")).alias("s"))
-    return pairs.groupBy("vec_id").agg(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.max("s"))), 6).alias("similarity"))
+    """(vec_id, similarity): the best over the query's variants, from 0 to 1.  The
+    variants, a handful, go to every task as one row; no vector is shuffled."""
+    asked = queries.agg(F.collect_list("q").alias("asked"))
+    best = F.array_max(F.transform("asked", lambda q: cosine(F.col("embedding"), q)))
+    found = vectors.crossJoin(F.broadcast(asked)).where(F.size("asked") > 0)
+    return found.select("vec_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), best)), 6).alias("similarity"))
 
 
 _SIMILAR = """q AS (SELECT label, CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS q FROM embeddings WHERE label IN (0, 1, 2) GROUP BY label),
@@ -179,7 +182,8 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked by their best chunks."""
     docs = decisions(spark, sf_dir).where(scope("en", since="2024-01-15"))
     vectors = table(spark, sf_dir, "embeddings")
-    similar = best_similarity(vectors, query_vectors(vectors)).withColumnRenamed("vec_id", "document_id")
+    scoped = vectors.join(docs.select(F.col("id").alias("vec_id")), "vec_id", "left_semi")
+    similar = best_similarity(scoped, query_vectors(vectors)).withColumnRenamed("vec_id", "document_id")
     active = trusted(spark, sf_dir).withColumn("active", F.lit(True))
     hits = chunks(docs).withColumn("lexical", substring_rank(_E2E_TERMS)).where("lexical > 0").join(similar, "document_id", "left").join(active, "document_id", "left")
     boosts = section_boost(F.col("section_label")) + F.when(F.col("active").isNotNull(), 0.09).otherwise(0.02)

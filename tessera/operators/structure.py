@@ -151,11 +151,15 @@ _HEADING_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(h), {_q(p)}) THEN
 _S = {n: f"regexp_matches(lower(t), {_q(p)})" for n, p in ex.SIGNALS.items()}
 
 
+#: [type, confidence] of a paragraph t with a heading type ht and a density.
+_KIND_SQL = f"""CASE WHEN ht IS NOT NULL THEN [ht, CASE WHEN ht = 'findings' THEN '0.93' ELSE '0.9' END] WHEN {_S['disposition']} THEN ['holding_disposition', '0.78'] WHEN {_S['findings']} THEN ['findings', '0.76'] WHEN {_S['procedural']} THEN ['procedural_history', '0.7']
+  WHEN {_S['facts']} AND NOT {_S['authority']} THEN ['facts_background', '0.68'] WHEN {_S['issue']} THEN ['issue_statement', '0.66'] WHEN {_S['analysis']} THEN ['analysis_reasoning', '0.64'] WHEN {_S['authority']} OR density >= 2.0 THEN ['authority_discussion', CASE WHEN density >= 2.6 THEN '0.72' ELSE '0.66' END]
+  WHEN {_S['caption']} THEN ['caption_title', '0.62'] ELSE ['general_body', '0.53'] END"""
+
+
 @query(_LEGAL_PARAGRAPHS + f""", h AS (SELECT doc_id, n, t, ['Body', 'Findings of Fact', 'Body', 'Order', 'Body'][n % 5 + 1] AS h, len(list_distinct(regexp_extract_all(t, {_q(_REFS)}, 1))) * 1000.0::DOUBLE / length(t) AS density FROM p),
 k AS (SELECT *, {_HEADING_SQL} AS ht FROM h),
-c AS (SELECT doc_id, n, t, density, CASE WHEN ht IS NOT NULL THEN [ht, CASE WHEN ht = 'findings' THEN '0.93' ELSE '0.9' END] WHEN {_S['disposition']} THEN ['holding_disposition', '0.78'] WHEN {_S['findings']} THEN ['findings', '0.76'] WHEN {_S['procedural']} THEN ['procedural_history', '0.7']
-  WHEN {_S['facts']} AND NOT {_S['authority']} THEN ['facts_background', '0.68'] WHEN {_S['issue']} THEN ['issue_statement', '0.66'] WHEN {_S['analysis']} THEN ['analysis_reasoning', '0.64'] WHEN {_S['authority']} OR density >= 2.0 THEN ['authority_discussion', CASE WHEN density >= 2.6 THEN '0.72' ELSE '0.66' END]
-  WHEN {_S['caption']} THEN ['caption_title', '0.62'] ELSE ['general_body', '0.53'] END AS k FROM k)
+c AS (SELECT doc_id, n, t, density, {_KIND_SQL} AS k FROM k)
 SELECT doc_id, n, k[1] AS chunk_type, CAST(k[2] AS DOUBLE) AS confidence, CASE WHEN k[1] IN ('holding_disposition', 'findings') OR k[1] = 'analysis_reasoning' AND CAST(k[2] AS DOUBLE) >= 0.66 OR k[1] = 'authority_discussion' AND density > 0 THEN 'high'
   WHEN k[1] IN ('procedural_history', 'facts_background', 'issue_statement') OR {_S['authority']} OR {_S['findings']} OR {_S['disposition']} THEN 'medium' ELSE 'low' END AS priority FROM c""")
 def chunk_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

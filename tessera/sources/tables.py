@@ -69,19 +69,24 @@ paragraphs AS (
 """
 
 
+#: Lines that a document's chunk ids have room for: a longer text would be over
+#: 128 MB; ids of documents may then go up to 2**37.
+LINES = 1 << 26
+
+
 def chunks(docs: DataFrame) -> DataFrame:
     """Paragraphs of decisions as chunks, with what a scan of chunks needs.  A
     document is cut in place, so neither a join nor a shuffle is needed."""
     kept = ["id", "title", "citation", "author", "jurisdiction", "decision_date"]
     found = docs.select(*kept, F.posexplode(F.split("text", "\n")).alias("order_rank", "chunk_text")).where(F.trim("chunk_text") != "")
-    chunk_id = F.col("id") * 100_000 + F.col("order_rank")
+    chunk_id = F.col("id") * LINES + F.col("order_rank")
     label = F.element_at(F.array(*map(F.lit, SECTION_LABELS)), F.col("order_rank") % 4 + 1)
     return found.withColumn("section_label", label).select(chunk_id.alias("chunk_id"), F.col("id").alias("document_id"), "order_rank", "section_label", "chunk_text", "title", "citation", "author", "jurisdiction", "decision_date")
 
 
 CHUNKS = f"""{DECISIONS}, {PARAGRAPHS},
 chunks AS (
-  SELECT id * 100000 + paragraph_order AS chunk_id, id AS document_id, paragraph_order AS order_rank, section_label, paragraph_text AS chunk_text,
+  SELECT id * {LINES} + paragraph_order AS chunk_id, id AS document_id, paragraph_order AS order_rank, section_label, paragraph_text AS chunk_text,
          title, citation, author, jurisdiction, decision_date
   FROM paragraphs JOIN decisions USING (id))
 """

@@ -1,34 +1,48 @@
 import random
 
-from tessera.operators.sequential import diversified, repaired
+from tessera.operators.sequential import Candidate, anchor_number, diversified, repaired
 
 
-def brute_force(candidates, limit):
+def brute_force(candidates, limit, intent):
     chosen = []
-    while len(chosen) < min(limit, len(candidates)):
+    while len(chosen) < limit:
         best = None
-        for i, (d, s, p, k, base) in enumerate(candidates):
-            if i in [c for c, _ in chosen]:
+        for i, c in enumerate(candidates):
+            if i in [k for k, _ in chosen]:
                 continue
-            others = [candidates[c] for c, _ in chosen]
-            same_d = sum(o[0] == d for o in others)
-            same_s = sum(o[:2] == (d, s) for o in others)
-            same_k = sum(o[3] == k for o in others)
-            value = base + 0.45 * (same_d == 0) + 0.2 * (same_k == 0) - 0.65 * same_d - 0.85 * same_s
-            value -= 0.5 * any(o[0] == d and abs(o[2] - p) <= 1 for o in others) + 0.35 * max(0, same_k - 1)
-            key = (-round(value, 4), d, p)
+            others = [candidates[k] for k, _ in chosen]
+            own = [o for o in others if o.document == c.document]
+            if intent == "citation" and (len(own) >= 1 or any(abs(int(o.anchor[3:]) - int(c.anchor[3:])) <= 1 for o in own)):
+                continue
+            alike = sum(o.kind == c.kind for o in others)
+            value = c.score + 0.45 * (not own) + 0.2 * (alike == 0) - 0.65 * len(own)
+            value -= 0.85 * sum(o.section == c.section for o in own) + 0.75 * sum(o.anchor == c.anchor for o in own) + 0.5 * any(abs(o.place - c.place) <= 1 for o in own)
+            if not (intent == "findings" and c.kind == "findings"):
+                value -= 0.35 * max(0, alike - 1)
+            key = (-round(value, 4), c.document, c.place)
             if best is None or key < best[0]:
                 best = (key, i)
+        if best is None:
+            break
         chosen.append((best[1], -best[0][0]))
     return chosen
 
 
 def test_diversified():
     rng = random.Random(3)
-    for _ in range(30):
-        page = list({(rng.randint(1, 5), rng.choice("ab"), rng.randint(0, 9), rng.choice("xyz"), rng.randint(0, 40) / 20) for _ in range(rng.randint(0, 25))})
-        page = list({(d, p): (d, s, p, k, b) for d, s, p, k, b in page}.values())
-        assert diversified(page, 8) == brute_force(page, 8)
+    for k in range(60):
+        page = {}
+        for _ in range(rng.randint(0, 25)):
+            place = rng.randint(0, 9)
+            c = Candidate(rng.randint(1, 5), rng.choice("ab"), f"x-p{place // 2}", place, rng.choice(("findings", "y", "z")), rng.randint(0, 40) / 20)
+            page[c.document, c.place] = c
+        page = list(page.values())
+        intent = ("", "citation", "findings")[k % 3]
+        assert diversified(page, 8, intent) == brute_force(page, 8, intent)
+
+
+def test_anchor_numbers():
+    assert [anchor_number(x) for x in ("body-p12", "p3", "a#P7", "top", "", "xp4")] == [12, 3, 7, None, None, None]
 
 
 def test_repaired():
