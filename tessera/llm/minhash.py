@@ -1,10 +1,11 @@
 """Near-duplicates by improved consistent weighted sampling of TF-IDF shingles.
 
 Shingles are runs of words; a shingle's weight is its count in the text times
-the mean inverse document frequency of its words.  (Nearly all shingles of a
-corpus occur once, so their own document frequencies would hold no information,
-and counting them would shuffle more than the corpus.)  The document
-frequencies of words lie in a table of fixed size, indexed by hash.
+its inverse document frequency.  The document frequencies of shingles, over all
+rows, lie in a table of fixed size, indexed by hash: rare shingles share a slot
+with as many others on average, at any size of the corpus in proportion to it, so
+they weigh nearly alike, and those in more than about a five hundredth of the
+documents weigh less.
 
 1. Texts with equal words are one class.
 2. Consistent weighted samples, in bands: classes that agree on all samples of a
@@ -14,8 +15,8 @@ frequencies of words lie in a table of fixed size, indexed by hash.
 4. Buckets whose members still belong to several components: the members apart
    from the hub's component against all others, block by block.  A pair is taken
    up in the first band that it shares, if its samples leave the similarity open,
-   and only links leave a block.  So no link between components is lost, and
-   members of one component are never compared with each other.
+   and only links leave a block.  So no link between components that share a
+   bucket is lost, and members of one component are never compared with each other.
 """
 
 from __future__ import annotations
@@ -37,18 +38,18 @@ from tessera.plans.lineage import release, settle
 WORDS, SIMILARITY = 5, 0.8
 #: At a similarity of 0.8, a pair shares a band with probability 0.9998.
 BANDS, ROWS = 16, 4
-#: Slots of the table of document frequencies.
+#: Slots of the table of document frequencies of shingles.
 SLOTS = 1 << 18
 #: The samples leave a similarity of SIMILARITY open (five standard deviations).
 OPEN = 0.55
-#: Members in a block, about.
-BLOCK = 256
+#: Members in a block, about, and bytes of their texts.
+BLOCK, BLOCK_BYTES = 256, 16 << 20
 #: Elements sampled at a time, and texts that a worker remembers in comparing.
 _CHUNK, _REMEMBERED = 4096, 64
 
 
-def _slots(word: np.ndarray) -> np.ndarray:
-    return (word >> np.uint64(46)).astype(np.int64)
+def _slots(shingle: np.ndarray) -> np.ndarray:
+    return (shingle >> np.uint64(46)).astype(np.int64)
 
 
 @cache
@@ -76,17 +77,8 @@ def weighted_shingles(text: str | None, idf: np.ndarray, k: int = WORDS) -> tupl
 
 
 def _weigh(word: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    shingle = shingle_hashes(word, k)
-    if not len(shingle):
-        return shingle, np.zeros(0)
-    total = np.concatenate([[0.0], np.cumsum(idf[_slots(word)])])
-    width = min(k, len(word))
-    mean = (total[width:] - total[:-width]) / width
-    order = np.argsort(shingle, kind="stable")
-    shingle = shingle[order]
-    first = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
-    counts = np.diff(np.append(first, len(shingle)))
-    return shingle[first], counts * mean[order][first]
+    shingle, counts = np.unique(shingle_hashes(word, k), return_counts=True)
+    return shingle, counts * idf[_slots(shingle)]
 
 
 def samples(shingle: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -116,16 +108,17 @@ def samples(shingle: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def word_idf(docs: DataFrame, text: str = "text") -> np.ndarray:
+def shingle_idf(docs: DataFrame, text: str = "text", words: int = WORDS) -> np.ndarray:
     """Inverse document frequencies by slot, over all rows."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         df, n = np.zeros(SLOTS, np.int64), 0
         for batch in batches:
             for t in batch.column(0):
-                word = word_hashes(t.as_py() or "")
+                found = np.zeros(SLOTS, bool)
+                found[_slots(shingle_hashes(word_hashes(t.as_py() or ""), words))] = True
                 n += 1
-                df[np.unique(_slots(word))] += 1
+                df += found
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], n), pa.int64())], names=["slot", "n"])
 
@@ -159,7 +152,7 @@ def _sketch(idf: np.ndarray, words: int, n: int) -> Callable:
                 else:
                     kinds.append(None)
                     sketches.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.int64()), pa.array(sketches, pa.list_(pa.int32()))], names=["key", "text_key", "kind", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(kinds, pa.int64()), pa.array(sketches, pa.list_(pa.int32()))], names=["key", "text_key", "n_bytes", "kind", "sketch"])
 
     return run
 
@@ -248,11 +241,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """
     spark = docs.sparkSession
     prepare_workers(spark)
-    idf = spark.sparkContext.broadcast(word_idf(docs, text))
-    texts = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+    idf = spark.sparkContext.broadcast(shingle_idf(docs, text, words))
+    texts = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     key_type = texts.schema["key"].dataType.simpleString()
-    sketched = settle(texts.mapInArrow(_sketch(idf, words, bands * rows), f"key {key_type}, text_key long, kind long, sketch array<int>"))
-    kinds = sketched.where("kind IS NOT NULL").groupBy("kind").agg(F.min("text_key").alias("text_key"), F.first("sketch").alias("sketch"))
+    sketched = settle(texts.mapInArrow(_sketch(idf, words, bands * rows), f"key {key_type}, text_key long, n_bytes long, kind long, sketch array<int>"))
+    kinds = sketched.where("kind IS NOT NULL").groupBy("kind").agg(F.min("text_key").alias("text_key"), F.first("sketch").alias("sketch"), F.max("n_bytes").alias("n_bytes"))
     band = F.array(*[F.xxhash64(F.lit(b), F.slice("sketch", b * rows + 1, rows)) for b in range(bands)])
     kinds = settle(kinds)
     members = kinds.select("kind", F.posexplode(band).alias("band", "bucket"))
@@ -270,20 +263,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     links = settle(pairs.mapInArrow(_compare(idf, words, similarity), "a long, b long"))
 
     grouped = members.drop("n").join(components(links).toDF("kind", "component"), "kind", "left").withColumn("component", F.coalesce("component", "kind"))
-    mixed = grouped.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high").select("bucket", "n")
+    grouped = grouped.join(kinds.select("kind", "n_bytes"), "kind")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_bytes") / BLOCK_BYTES))  # by members and by bytes
+    mixed = grouped.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), blocks.alias("n")).where("low <> high").select("bucket", "n")
     grouped = settle(grouped.join(mixed.join(hubs, "bucket"), "bucket"))
     main = grouped.where("kind = hub").select("bucket", F.col("component").alias("main"))
     grouped = grouped.drop("hub").join(main, "bucket")
     apart = F.col("component") != F.col("main")
-    counts = grouped.where(apart).groupBy("bucket").agg(F.count("*").alias("n_apart"))
+    counts = grouped.where(apart).groupBy("bucket").agg(blocks.alias("n_apart"))
     grouped = settle(grouped.join(counts, "bucket"))
     if not grouped.isEmpty():
-        # the number of blocks of all members, and of those apart
-        spread = lambda n: F.ceil(F.col(n) / BLOCK)
-        place = lambda n: F.pmod(F.xxhash64("kind"), spread(n))
-        all_blocks, zero = F.sequence(F.lit(0).cast("long"), spread("n") - 1), F.lit(0).cast("long")
-        apart_blocks = F.sequence(F.lit(0).cast("long"), spread("n_apart") - 1)
-        small, large = grouped.where(spread("n") == 1), grouped.where(spread("n") > 1)
+        # n blocks of all members, n_apart of those apart
+        place = lambda n: F.pmod(F.xxhash64("kind"), n)
+        all_blocks, zero = F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(0).cast("long")
+        apart_blocks = F.sequence(F.lit(0).cast("long"), F.col("n_apart") - 1)
+        small, large = grouped.where("n = 1"), grouped.where("n > 1")
         names = ["bucket", "band", "kind", "component", "main"]
         dealt = small.select(*names, F.lit(2).alias("role"), zero.alias("i"), zero.alias("j"))
         dealt = dealt.unionAll(large.where(apart).select(*names, F.lit(0), place("n_apart"), F.explode(all_blocks)))

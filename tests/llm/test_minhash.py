@@ -52,7 +52,7 @@ def test_groups(spark, monkeypatch, seed, block):
     texts = corpus(seed)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
-    want = brute_force(texts, minhash.word_idf(docs))
+    want = brute_force(texts, minhash.shingle_idf(docs))
     assert [got[i] for i in range(len(texts))] == want
 
 
@@ -82,3 +82,24 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {got[i] for i in range(100, 161)} == {100} and got[7] == got[3] == 3
     assert {got[1000 + i] for i in range(51)} == {1000}
+
+
+def test_blocks_by_bytes(spark, monkeypatch):
+    """Blocks of few bytes give the same groups."""
+    texts = corpus(4)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 2000)
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()} == want
+
+
+def test_recall_on_documents(spark):
+    """Links of real documents at 0.8 by brute force that are in one group."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    idf = minhash.shingle_idf(docs)
+    rows = docs.where("text IS NOT NULL").orderBy("doc_id").collect()
+    sets = [minhash.weighted_shingles(r.text, idf) for r in rows]
+    group = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i][0]) and len(sets[j][0]) and minhash.jaccard(sets[i], sets[j]) >= 0.8]
+    found = [group[rows[i].doc_id] == group[rows[j].doc_id] for i, j in linked]
+    assert linked and sum(found) >= 0.99 * len(found)
