@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.lineage import release, settle
@@ -58,16 +60,60 @@ def first_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-def overwrite_by_key(spark, path: str, new: DataFrame, keys: list[str]) -> None:
-    """A Parquet store with new rows in place of those with equal keys.  The
-    result is complete in the shared folder before the store changes."""
-    try:
-        old = spark.read.parquet(path)
-        rows = old.join(new, keys, "left_anti").unionByName(new, allowMissingColumns=True)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-        rows = new
-    ready = settle(rows)
-    ready.write.mode("overwrite").parquet(path)
-    release(ready)
+#: Parts of a store; a write touches those that its keys fall in.
+BUCKETS = 64
+
+
+def _files(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _listing(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
+    """The last version of a store, and the folder of each of its buckets."""
+    place, files = _files(spark, f"{path}/_versions")
+    if not files.exists(place):
+        return 0, {}
+    names = sorted(s.getPath().getName() for s in files.listStatus(place) if s.getPath().getName().isdigit())
+    if not names:
+        return 0, {}
+    text = spark.read.text(f"{path}/_versions/{names[-1]}", wholetext=True).first()[0]
+    return int(names[-1]), {int(k): v for k, v in json.loads(text).items()}
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of a store of overwrite_by_key, None if it has none yet."""
+    folders = sorted(set(_listing(spark, path)[1].values()))
+    return spark.read.option("mergeSchema", "true").parquet(*folders) if folders else None
+
+
+def overwrite_by_key(spark: SparkSession, path: str, new: DataFrame, keys: list[str], buckets: int = BUCKETS) -> None:
+    """A store with new rows in place of those with equal keys.
+
+    Rows are dealt to buckets by a hash of the keys, always as many in a store; only
+    buckets that new rows fall in are written, to a new folder.  The store changes
+    when the listing of the next version takes its name, in one step: a failure
+    before that leaves the old version whole, one after it only files that nothing
+    lists.  Of two writers at a time, one fails."""
+    version, folders = _listing(spark, path)
+    placed = settle(new.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
+    touched = sorted(r.bucket for r in placed.select("bucket").distinct().collect())
+    before = [folders[k] for k in touched if k in folders]
+    rows = placed
+    if before:
+        old = spark.read.option("mergeSchema", "true").parquet(*before)
+        old = old.join(placed.select(*keys).distinct(), keys, "left_anti").withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        rows = old.unionByName(placed, allowMissingColumns=True)
+    folder = f"{path}/{uuid4().hex}"
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(folder)
+    release(placed)
+    folders |= {k: f"{folder}/bucket={k}" for k in touched}
+    draft, files = _files(spark, f"{path}/_versions/draft-{uuid4().hex}")
+    out = files.create(draft, False)
+    out.write(bytearray(json.dumps(folders).encode()))
+    out.close()
+    named, _ = _files(spark, f"{path}/_versions/{version + 1:012d}")
+    if not files.rename(draft, named):
+        raise RuntimeError(f"another writer changed {path}")
+    for gone in before:
+        files.delete(_files(spark, gone)[0], True)

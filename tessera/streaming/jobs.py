@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.functions.text import tokens
-from tessera.sources.sinks import overwrite_by_key
+from tessera.sources.sinks import overwrite_by_key, read_store
 
 #: Attempts of a job, and seconds of its first and longest back-off.
 MOST_ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 4, 60, 3600
@@ -48,23 +48,20 @@ def stale(states: DataFrame, now: str, minutes: int = 10, most: int = 50) -> Dat
 
 def keep_states(events: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
     """A job table that follows a stream of events.  A batch is merged with the
-    rows it touches, so a batch that is repeated gives the same table."""
+    rows it touches.  The times of a job's failures are kept as a set, so events that
+    come late, or again in any batch, give the same table; a job has few attempts."""
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        found = latest_states(batch)
-        try:
-            old = spark.read.parquet(store).select("job", F.col("state").alias("s0"), F.col("at").alias("a0"), F.col("attempts").alias("n0"))
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            old = None
+        failed = F.array_sort(F.collect_set(F.when(F.col("state") == "failed", F.col("at"))))
+        found = batch.groupBy("job").agg(F.max_by("state", F.struct("at", "state")).alias("state"), F.max("at").alias("at"), failed.alias("failures"))
+        old = read_store(spark, store)
         if old is not None:
-            rows = found.join(old, "job", "left")
+            rows = found.join(old.select("job", F.col("state").alias("s0"), F.col("at").alias("a0"), F.col("failures").alias("f0")), "job", "left")
             newer = F.col("a0").isNull() | (F.col("at") > F.col("a0"))
-            attempts = F.coalesce("n0", F.lit(0)) + F.when(newer, F.col("attempts")).otherwise(0)
-            found = rows.select("job", F.when(newer, F.col("state")).otherwise(F.col("s0")).alias("state"), F.greatest("at", "a0").alias("at"), attempts.alias("attempts"))
-        overwrite_by_key(spark, store, found, ["job"])
+            failures = F.array_sort(F.array_union("failures", F.coalesce("f0", F.array().cast("array<timestamp>"))))
+            found = rows.select("job", F.when(newer, F.col("state")).otherwise(F.col("s0")).alias("state"), F.greatest("at", "a0").alias("at"), failures.alias("failures"))
+        overwrite_by_key(spark, store, found.withColumn("attempts", F.size("failures").cast("bigint")), ["job"])
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -59,8 +59,19 @@ def test_store_by_key(spark, tmp_path):
     path = str(tmp_path / "store")
     sinks.overwrite_by_key(spark, path, spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), ["k"])
     sinks.overwrite_by_key(spark, path, spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), ["k"])
-    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c"), (3, "d")]
-    known = spark.read.parquet(path).select("k")
+    assert sorted(tuple(r) for r in sinks.read_store(spark, path).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    # what a failed write leaves is not part of the store
+    spark.createDataFrame([(1, "x")], "k int, v string").write.parquet(path + "/left-over")
+    (tmp_path / "store" / "_versions" / "draft-1").write_text("{}")
+    assert sinks.read_store(spark, path).count() == 3 and sinks.read_store(spark, str(tmp_path / "none")) is None
+    # only touched buckets are written anew
+    many = spark.range(1000).selectExpr("CAST(id AS INT) AS k", "'m' AS v")
+    sinks.overwrite_by_key(spark, path, many, ["k"])
+    before = sinks._listing(spark, path)[1]
+    sinks.overwrite_by_key(spark, path, spark.createDataFrame([(5, "n")], "k int, v string"), ["k"])
+    after = sinks._listing(spark, path)[1]
+    assert sum(before[k] != after[k] for k in after) == 1 and sinks.read_store(spark, path).count() == 1000
+    known = sinks.read_store(spark, path).where("k < 4").select("k")
     fresh = readers.unseen(spark.createDataFrame([(3,), (4,), (4,)], "k int"), known, ["k"])
     assert [r.k for r in fresh.collect()] == [4]
     first = sinks.first_of_each(spark.createDataFrame([(1, 2), (1, 1), (2, 5)], "k int, n int"), ["k"], ["n"])

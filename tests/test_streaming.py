@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+from tessera.sources.sinks import read_store
 from tessera.streaming import jobs
 
 START = datetime(2024, 1, 1)
@@ -29,14 +30,21 @@ def test_job_table_follows_and_replays(spark, tmp_path):
 
     def run():
         assert jobs.keep_states(jobs.stream(spark, folder, schema), store, str(tmp_path / "mark")).awaitTermination(120)
-        return {r.job: (r.state, r.attempts) for r in spark.read.parquet(store).collect()}
+        return {r.job: (r.state, r.attempts) for r in read_store(spark, store).collect()}
 
     put(spark, folder, [("x", "queued", at(0)), ("x", "processing", at(1)), ("x", "processing", at(1)), ("y", "queued", at(0))], schema)
     assert run() == {"x": ("processing", 0), "y": ("queued", 0)}
     put(spark, folder, [("x", "failed", at(3)), ("y", "completed", at(2))], schema)
     assert run() == {"x": ("failed", 1), "y": ("completed", 0)}
-    states = jobs.with_retries(spark.read.parquet(store))
-    assert states.where("job = 'x'").first().retry_at == at(63)
+    # late and repeated events
+    put(spark, folder, [("x", "failed", at(2)), ("x", "failed", at(3)), ("y", "queued", at(0))], schema)
+    assert run() == {"x": ("failed", 2), "y": ("completed", 0)}
+    put(spark, folder, [("x", "completed", at(9)), ("x", "failed", at(2))], schema)
+    assert run() == {"x": ("completed", 2), "y": ("completed", 0)}
+    put(spark, folder, [("x", "failed", at(12))], schema)
+    assert run() == {"x": ("failed", 3), "y": ("completed", 0)}
+    states = jobs.with_retries(read_store(spark, store))
+    assert states.where("job = 'x'").first().retry_at == at(12 + 240)
 
 
 def test_stale_jobs(spark):
@@ -49,7 +57,7 @@ def test_postings_follow(spark, tmp_path):
 
     def run():
         assert jobs.keep_postings(jobs.stream(spark, folder, schema), store, str(tmp_path / "mark")).awaitTermination(120)
-        return sorted((r.chunk_id, r.token, r.tf) for r in spark.read.parquet(store).where("tf > 0").collect())
+        return sorted((r.chunk_id, r.token, r.tf) for r in read_store(spark, store).where("tf > 0").collect())
 
     put(spark, folder, [(1, "mold and mold", at(0)), (2, "leak", at(0))], schema)
     assert run() == [(1, "and", 1), (1, "mold", 2), (2, "leak", 1)]
