@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.operators import families, lexical, planning, policy, relational, retrieval, rules, sequential, structure
+from tessera.operators import assistants, families, lexical, planning, policy, relational, retrieval, rules, sequential, structure
 
-_MODULES = (lexical, relational, structure, policy, retrieval, rules, sequential, planning, families)
+_MODULES = (lexical, relational, structure, policy, retrieval, rules, sequential, planning, families, assistants)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
