@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -62,3 +64,26 @@ def test_empty_and_unlabelled(spark):
 def test_run(spark):
     found = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert found.where("n_tokens > 0").count() > 100
+
+
+def test_passages_of_fifty_words_go(spark):
+    """Passages of 50 to 60 words that two documents share are gone after the string
+    stage, and other documents are as they were."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(3, 8)))
+    words = lambda n: [word() for _ in range(n)]
+    rows, passages = [], {}
+    for k in range(30):
+        passage = " ".join(words(rng.randint(50, 60)))
+        for _ in range(2):
+            passages[len(rows)] = passage
+            rows.append((len(rows), f"{' '.join(words(40))} {passage} {' '.join(words(40))}", "en", "s", 1))
+    clean = {}
+    for _ in range(30):
+        clean[len(rows)] = " ".join(words(120))
+        rows.append((len(rows), clean[len(rows)], "en", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id: r.text for r in corpus_pipeline.repeated_strings(spark, docs, "").collect()}
+    assert all(left[k] == t for k, t in clean.items())
+    assert sum(len(p) >= corpus_pipeline.STRING for p in passages.values()) == len(passages)
+    assert all(p[20:-20] not in left[k] and len(left[k].split()) <= 83 for k, p in passages.items())
