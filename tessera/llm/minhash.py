@@ -115,10 +115,8 @@ def shingle_idf(docs: DataFrame, text: str = "text", words: int = WORDS) -> np.n
         df, n = np.zeros(SLOTS, np.int64), 0
         for batch in batches:
             for t in batch.column(0):
-                found = np.zeros(SLOTS, bool)
-                found[_slots(shingle_hashes(word_hashes(t.as_py() or ""), words))] = True
                 n += 1
-                df += found
+                df[np.unique(_slots(shingle_hashes(word_hashes(t.as_py() or ""), words)))] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(df[at], n), pa.int64())], names=["slot", "n"])
 
