@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chaining, itq, langid, minhash, mixing, quality, sharding, suffixes, wordpiece
+from tessera.llm import annular, bpe, chaining, itq, langid, minhash, mixing, quality, ranks, sharding, suffixes, wordpiece
 from tessera.sources.tables import table
 
 BYTE_PAIRS = os.environ.get("TESSERA_BYTE_PAIRS", public_tokenizers.path("byte_bpe_50k.json"))
+RANKS = os.environ.get("TESSERA_RANKS", public_tokenizers.path("byte_bpe_50k.tiktoken"))
 PIECES = os.environ.get("TESSERA_PIECES", public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -76,7 +77,22 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_suffixes, op3_sharding, op4_token_counts, op5_passages, op6_quality, op7_mixing, op8_bpe, op9_language, op10_embeddings)}
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every vector, its error, and the error of its label's vectors."""
+    found = annular.with_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded by ranks."""
+    outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return ranks.with_rank_tokens(_documents(spark, sf_dir, "doc_id", "text"), RANKS, public_tokenizers.PATTERN, outputs=outputs, drop_text=True)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_minhash, op2_suffixes, op3_sharding, op4_token_counts, op5_passages, op6_quality, op7_mixing, op8_bpe, op9_language, op10_embeddings, op11_codes, op13_ranks)
+}
 
 #: Shards: every depth of every hash is summed, and each document takes the
 #: least depth that fits.  Good for tables that need at most 24 bits.
@@ -123,4 +139,39 @@ SELECT doc_id, size, CAST(ss AS BIGINT) AS source_size, target,
 FROM y
 """
 
-SQL: dict[str, str] = {"op3_sharding": _SHARDS, "op7_mixing": _MIX}
+
+
+def _codes() -> str:
+    """Codes: each round assigns all parts to entries, then takes their floored means."""
+    cut = "[CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding]".format(scale=annular.SCALE)
+    steps = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, {cut} AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""",
+        f"""p AS MATERIALIZED (
+  SELECT r, part, v[part * len(v) // {annular.PARTS} + 1 : (part + 1) * len(v) // {annular.PARTS}] AS x
+  FROM v, (SELECT unnest(range({annular.PARTS})) AS part))""",
+        f"""b0 AS MATERIALIZED (
+  SELECT part, e, x AS c FROM (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM v) JOIN p USING (r) WHERE e < {annular.ENTRIES})""",
+    ]
+    assign = """a{k} AS MATERIALIZED (
+  SELECT r, part, min({{'d': list_sum([(x[j] - c[j]) * (x[j] - c[j]) FOR j IN range(1, len(x) + 1)]), 'e': e}}) AS m
+  FROM p JOIN b{k} USING (part) GROUP BY r, part)"""
+    move = """b{n} AS MATERIALIZED (
+  SELECT part, e, coalesce(f, c) AS c FROM b{k} LEFT JOIN (
+    SELECT part, e, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY j) AS f FROM (
+      SELECT part, m.e AS e, j, sum(x[j]) AS s, count(*) AS n FROM a{k} JOIN p USING (r, part), (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM p))) AS j)
+      GROUP BY part, m.e, j) GROUP BY part, e) USING (part, e))"""
+    for k in range(annular.ROUNDS):
+        steps += [assign.format(k=k), move.format(k=k, n=k + 1)]
+    last = annular.ROUNDS
+    steps += [
+        assign.format(k=last),
+        f"h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{last})",
+        f"f AS (SELECT r, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{last} GROUP BY r)",
+    ]
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN f USING (r), h"""
+
+
+SQL: dict[str, str] = {"op11_codes": _codes(), "op3_sharding": _SHARDS, "op7_mixing": _MIX}
