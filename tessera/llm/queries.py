@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import annular, bpe, chaining, itq, langid, minhash, mixing, quality, ranks, sharding, suffixes, wordpiece
+from tessera.llm import annular, bpe, chaining, itq, langid, minhash, mixing, quality, ranks, sharding, suffixes, turns, wordpiece
 from tessera.sources.tables import table
 
 BYTE_PAIRS = os.environ.get("TESSERA_BYTE_PAIRS", public_tokenizers.path("byte_bpe_50k.json"))
@@ -83,6 +83,12 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged and then repaired."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return turns.repairs(turns.damaged(rows), gone="gone")
+
+
 def op13_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded by ranks."""
     outputs = ("n_tokens", "ids_sha256", "decoded_sha256")
@@ -91,7 +97,7 @@ def op13_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash, op2_suffixes, op3_sharding, op4_token_counts, op5_passages, op6_quality, op7_mixing, op8_bpe, op9_language, op10_embeddings, op11_codes, op13_ranks)
+    for f in (op1_minhash, op2_suffixes, op3_sharding, op4_token_counts, op5_passages, op6_quality, op7_mixing, op8_bpe, op9_language, op10_embeddings, op11_codes, op12_turns, op13_ranks)
 }
 
 #: Shards: every depth of every hash is summed, and each document takes the
