@@ -180,4 +180,64 @@ def _codes() -> str:
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN f USING (r), h"""
 
 
-SQL: dict[str, str] = {"op11_codes": _codes(), "op3_sharding": _SHARDS, "op7_mixing": _MIX}
+#: Conversations: CRC32 by its table, the faults, then costs to go from the last turn
+#: back, and the walk, one turn or insertion of all conversations in each step.
+_TURNS = r"""
+WITH RECURSIVE
+t AS (SELECT [list_reduce(range(0, 9), lambda c, k: CASE WHEN k = 0 THEN c WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) FOR n IN range(0, 256)] AS f),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         [CAST(ord(x) AS BIGINT) FOR x IN string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')] AS b
+  FROM conversations),
+kinds AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(b, lambda a, x: xor(a >> 8, f[(xor(a, x) & 255) + 1]), 4294967295), 4294967295) % 20 AS kind FROM named, t),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), md5(text), copy) AS i, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv FROM damaged),
+turns AS MATERIALIZED (
+  SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) AS before,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 2
+              WHEN regexp_matches(text, '[^.!?\x20\x09-\x0D][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault
+  FROM placed),
+counted AS MATERIALIZED (
+  SELECT conv, any_value(conv_id) AS conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM turns GROUP BY conv),
+go(conv, i, c) AS (
+  SELECT conv, n, [0, 4, 2, 0]::BIGINT[] FROM counted
+  UNION ALL
+  SELECT conv, i, [least(m[1], u + 2), least(m[2], u + 2), u, least(m[4], m[3] + 2)] FROM (
+    SELECT conv, i, m, least(m[3], m[4] + 2) AS u FROM (
+      SELECT go.conv, go.i - 1 AS i,
+             CASE WHEN fault IN (1, 2) THEN [c[1] + 3, c[2] + 3, c[3] + 3, c[4] + 3]
+                  ELSE [least(c[1] + 3, c[3] + 2 + (fault // 3), CASE initial WHEN 's' THEN c[2] + fault // 3 WHEN 'u' THEN c[3] + fault // 3 END),
+                        least(c[2] + 3, c[3] + 2 + (fault // 3), CASE initial WHEN 'u' THEN c[3] + fault // 3 END),
+                        least(c[3] + 3, c[4] + 2 + (fault // 3), CASE initial WHEN 'a' THEN c[4] + fault // 3 END),
+                        least(c[4] + 3, c[3] + 2 + (fault // 3), CASE initial WHEN 'u' THEN c[3] + fault // 3 END)] END AS m
+      FROM go JOIN turns ON turns.conv = go.conv AND turns.i = go.i))),
+costs AS MATERIALIZED (SELECT * FROM go),
+walk(conv, i, g, audit, lines) AS (
+  SELECT conv, CAST(0 AS BIGINT), 0, '', CAST([] AS VARCHAR[]) FROM counted
+  UNION ALL
+  SELECT conv, CASE edit WHEN 'I' THEN i ELSE i + 1 END, CASE edit WHEN 'D' THEN g WHEN 'K' THEN kept ELSE following END, audit || edit,
+         CASE edit WHEN 'D' THEN lines ELSE list_append(lines, CASE edit WHEN 'K' THEN role ELSE given END || ':' || CASE edit WHEN 'I' THEN '' ELSE text END) END
+  FROM (
+    SELECT w.*, kept, following, role, text, CASE following WHEN 2 THEN 'user' ELSE 'assistant' END AS given,
+           CASE WHEN a.c[g + 1] + 3 = b.c[g + 1] THEN 'D' WHEN b.c[following + 1] + 2 = b.c[g + 1] THEN 'I' WHEN a.c[kept + 1] + fault // 3 = b.c[g + 1] THEN 'K' ELSE 'R' END AS edit
+    FROM (SELECT w.*, [2, 2, 3, 2][g + 1] AS following, turns.role, turns.text, turns.fault,
+                 CASE WHEN initial = 's' AND g = 0 THEN 1 WHEN initial = 'u' AND g <> 2 THEN 2 WHEN initial = 'a' AND g = 2 THEN 3 END AS kept
+          FROM walk w LEFT JOIN turns ON turns.conv = w.conv AND turns.i = w.i + 1 WHERE turns.i IS NOT NULL OR g NOT IN (0, 3)) w
+    JOIN costs b ON b.conv = w.conv AND b.i = w.i LEFT JOIN costs a ON a.conv = w.conv AND a.i = w.i + 1)),
+found AS (
+  SELECT counted.*, c[1] AS cost, audit, sha256(array_to_string(lines, chr(10))) AS repaired_sha256
+  FROM counted JOIN walk ON walk.conv = counted.conv AND walk.i = n AND g IN (0, 3) JOIN costs ON costs.conv = counted.conv AND costs.i = 0)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN found ON found.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+SQL: dict[str, str] = {"op11_codes": _codes(), "op12_turns": _TURNS, "op3_sharding": _SHARDS, "op7_mixing": _MIX}
