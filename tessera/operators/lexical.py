@@ -6,17 +6,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.operators import postings as index
 from tessera.plans.lineage import settle
 from tessera.sources import tables as tb
 
 #: Weights of a term's hit by field.
 WEIGHTS = {"title": 2.4, "citation": 2.0, "author": 1.9, "section_label": 1.4, "chunk_text": 1.0}
-#: Parameters of BM25.
-K1, B = 1.2, 0.75
 
 _FOLD = "trim(regexp_replace(strip_accents(lower({})), '[\\s\\x{{00A0}}]+', ' ', 'g'))"
 
@@ -63,7 +62,7 @@ def document_frequency(postings_: DataFrame) -> DataFrame:
     return postings_.groupBy("token").agg(F.count("*").alias("df"))
 
 
-def bm25(chunks: DataFrame, terms: Sequence[str], k1: float = K1, b: float = B) -> DataFrame:
+def bm25(chunks: DataFrame, terms: Sequence[str], k1: float = index.K1, b: float = index.B) -> DataFrame:
     """(chunk_id, score) of the chunks with any of the terms.  Only the terms'
     postings are shuffled, and kept, for their frequencies; the corpus is scanned
     once, and its totals are observed on the way."""
@@ -74,6 +73,8 @@ def bm25(chunks: DataFrame, terms: Sequence[str], k1: float = K1, b: float = B)
     hits = sized.where(F.arrays_overlap("words", F.array(*map(F.lit, terms)))).select("chunk_id", "length", F.explode("words").alias("token"))
     hits = settle(hits.where(F.col("token").isin(*terms)).groupBy("chunk_id", "length", "token").agg(F.count("*").alias("tf")))
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
+    if hits.isEmpty():  # then nothing may have been observed
+        return hits.select("chunk_id", F.lit(0.0).alias("score"))
     scored = hits.join(F.broadcast(df), "token")
     n, mean = totals.get["n"], (totals.get["words"] or 0) / max(totals.get["n"], 1)
     idf = F.log(F.lit(1.0) + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -122,30 +123,50 @@ def whole_word_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency of every token, with those too common for a query."""
-    found = document_frequency(postings(tb.chunks(tb.decisions(spark, sf_dir))))
+    found = index.frequencies(index.of_tables(spark, sf_dir))
     return found.select("token", "df", (F.col("df") > 500).alias("common"))
 
 
+def index_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stored index holds of every token: chunks, occurrences, the most in a
+    chunk, and the first and last chunk."""
+    found = index.postings_of(index.of_tables(spark, sf_dir).rows)
+    last = F.max(F.element_at("places", -1).cast("long")).alias("last_place")
+    return found.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"), F.max(F.col("tf").cast("long")).alias("most"), F.min("chunk_id").alias("first_chunk"), F.max("chunk_id").alias("last_chunk"), last)
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = bm25(tb.chunks(tb.decisions(spark, sf_dir)), ("the", "und", "ertion", "thention"))
-    return found.orderBy(F.desc("score"), "chunk_id").limit(50)
+    return index.bm25(index.of_tables(spark, sf_dir), ("the", "und", "ertion", "thention"), 50)
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = index.matched_groups(index.of_tables(spark, sf_dir), GROUPS)
+    return found.select("chunk_id", index.document_of(F.col("chunk_id")).alias("document_id"), "matched")
 
 
 def and_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relaxed conjunction: the chunks of the highest tier that has any.  The corpus
-    is scanned once; of the hits, three numbers each are kept."""
-    found = settle(matched_groups(tb.chunks(tb.decisions(spark, sf_dir)), GROUPS).where("matched >= 2").select("chunk_id", "document_id", "matched"), narrow=True)
+    """Relaxed conjunction: the chunks of the highest tier that has any."""
+    found = settle(_matched(spark, sf_dir).where("matched >= 2"), narrow=True)
     top = found.agg(F.max("matched").alias("tier"))
     return found.join(F.broadcast(top), found["matched"] == top["tier"]).select("chunk_id", "document_id", "tier")
 
 
 def relaxed_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many chunks and documents each tier of the conjunction admits."""
-    found = matched_groups(tb.chunks(tb.decisions(spark, sf_dir)), GROUPS)
-    tiers = found.select("document_id", "chunk_id", F.explode(F.sequence(F.lit(1), F.greatest(F.col("matched"), F.lit(1)))).alias("tier"), "matched").where("tier <= matched")
+    tiers = _matched(spark, sf_dir).select("document_id", "chunk_id", F.explode(F.sequence(F.lit(1), F.col("matched"))).alias("tier"))
     return tiers.groupBy("tier").agg(F.count("*").alias("n_chunks"), F.countDistinct("document_id").alias("n_documents"))
 
 
+PHRASES = (("in", "the"), ("the", "and", "of"), ("findings", "of", "fact"), ("und", "und"), ("the", "the", "the"))
+
+
+def phrase_in_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often chunks have the tokens of each phrase side by side."""
+    stored = index.of_tables(spark, sf_dir)
+    found = [index.phrase(stored, words).select(F.lit(" ".join(words)).alias("phrase"), "chunk_id", "n_hits") for words in PHRASES]
+    return reduce(DataFrame.unionByName, found)
+
+
 def prefix_any_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a token that starts with any of some prefixes."""
     words = tx.tokens(F.col("chunk_text"))
@@ -154,28 +175,23 @@ def prefix_any_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.min("chunk_id").alias("first_chunk"))
 
 
+def _grams(words: str, n: int) -> Column:
+    """All runs of n tokens, in order."""
+    return F.expr(f"CASE WHEN size({words}) >= {n} THEN transform(sequence(1, size({words}) - {n - 1}), i -> array_join(slice({words}, i, {n}), ' ')) ELSE array() END")
+
+
 def phrase_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adjacent tokens: each benchmark item's first three, in documents.  The
-    trigrams of documents are joined with the items', never every pair."""
-    items = tb.table(spark, sf_dir, "benchmark").select("item_id", F.slice(tx.tokens(F.col("text")), 1, 3).alias("w")).where("size(w) = 3").select("item_id", F.array_join("w", " ").alias("phrase"))
-    docs = tb.table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", tx.tokens(F.col("text")).alias("w")).where("size(w) >= 3")
-    grams = docs.select("doc_id", F.explode(F.expr("transform(sequence(1, size(w) - 2), i -> concat_ws(' ', w[i - 1], w[i], w[i + 1]))")).alias("phrase"))
-    return items.join(grams, "phrase").groupBy("item_id", "doc_id").agg(F.count("*").alias("n_hits"))
-
-
-def phrase_adjacency_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adjacent tokens: where documents have all of an item's, in order.  Items are
-    looked up by their first three tokens, or all of fewer, then tested whole."""
-    items = tb.table(spark, sf_dir, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("wanted")).where("size(wanted) > 0")
-    docs = tb.table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", tx.tokens(F.col("text")).alias("w"))
-    places = []
-    for n in (1, 2, 3):
-        keyed = items.where(f"size(wanted) {'>=' if n == 3 else '='} {n}").select("item_id", F.array_join(F.slice("wanted", 1, n), " ").alias("phrase"))
-        grams = docs.where(f"size(w) >= {n}").select("doc_id", F.posexplode(F.expr(f"transform(sequence(1, size(w) - {n - 1}), i -> array_join(slice(w, i, {n}), ' '))")).alias("at", "phrase"))
-        places.append(grams.join(keyed, "phrase").select("item_id", "doc_id", "at"))
-    found = reduce(DataFrame.unionByName, places).join(items, "item_id").join(docs, "doc_id")
-    whole = F.expr("slice(w, at + 1, size(wanted)) = wanted")
-    return found.where(whole).groupBy("item_id", "doc_id").agg(F.count("*").alias("n_hits"))
+    """Adjacent tokens: where documents have all of an item's, in order.  A place where
+    an item begins has all its runs of three tokens, or all tokens of a shorter one, at
+    their distances from it: these are counted, so documents are read once."""
+    items = tb.table(spark, sf_dir, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("wanted")).where("size(wanted) > 0").select("item_id", "wanted", F.least(F.size("wanted"), F.lit(3)).alias("n"))
+    sizes = sorted(r.n for r in items.select("n").distinct().collect())
+    grams = lambda words: F.coalesce(*[F.when(F.col("n") == n, _grams(words, n)) for n in (1, 2, 3)])
+    keyed = items.withColumn("grams", grams("wanted")).select("item_id", "n", F.size("grams").alias("runs"), F.posexplode("grams").alias("offset", "gram"))
+    docs = tb.table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", tx.tokens(F.col("text")).alias("w"), F.explode(F.array(*map(F.lit, sizes))).alias("n"))
+    placed = docs.select("doc_id", "n", F.posexplode(grams("w")).alias("at", "gram"))
+    starts = placed.join(keyed, ["n", "gram"]).groupBy("item_id", "doc_id", "runs", (F.col("at") - F.col("offset")).alias("start")).agg(F.count("*").alias("found"))
+    return starts.where("found = runs").groupBy("item_id", "doc_id").agg(F.count("*").alias("n_hits"))
 
 
 COVERAGE = (("the", "les"), ("and", "und"), ("that", "dans"))
@@ -201,35 +217,26 @@ def _group_sql(group: Sequence[str]) -> str:
 
 
 def sentence_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest run of an item's tokens that a document has, as a score, for
-    items and documents that share their first two meaningful tokens."""
-    long = lambda c: F.filter(tx.tokens(c), lambda t: (F.length(t) > 2) & ~F.array_contains(F.array(*map(F.lit, tx.STOPWORDS)), t))
-    items = tb.table(spark, sf_dir, "benchmark").select("item_id", F.slice(long(F.col("text")), 1, 12).alias("wanted")).where("size(wanted) >= 5").withColumn("key", F.concat_ws(" ", F.get("wanted", F.lit(0)), F.get("wanted", F.lit(1))))
-    docs = tb.table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", long(F.col("text")).alias("w")).where("size(w) >= 2")
-    keyed = docs.select("doc_id", "w", F.explode(F.array_distinct(F.expr("transform(sequence(1, size(w) - 1), i -> concat_ws(' ', w[i - 1], w[i]))"))).alias("key"))
-    run = tx.longest_run(F.col("wanted"), F.array_distinct("w"))
-    found = items.join(keyed, "key").select("item_id", "doc_id", run.cast("long").alias("run"))
-    return found.withColumn("overlap", F.when(F.col("run") >= 8, 0.12).when(F.col("run") >= 6, 0.08).when(F.col("run") >= 5, 0.05).otherwise(0.0))
-
-
-def sentence_overlap_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest run of an item's meaningful tokens, all of them, that a document
     has, for every pair that scores.  A run that scores holds five tokens in a row:
-    each five are looked up by the rarest of them."""
+    each five are looked up by the rarest of them, and the others then joined."""
     long = lambda c: F.filter(tx.tokens(c), lambda t: (F.length(t) > 2) & ~F.array_contains(F.array(*map(F.lit, tx.STOPWORDS)), t))
     items = tb.table(spark, sf_dir, "benchmark").select("item_id", long(F.col("text")).alias("wanted")).where("size(wanted) >= 5")
+    places = items.select("item_id", F.posexplode("wanted").alias("place", "token"))
     words = tb.table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(F.array_distinct(long(F.col("text")))).alias("token"))
-    words = words.join(items.select(F.explode("wanted").alias("token")).distinct(), "token", "left_semi")
+    words = settle(words.join(places.select("token").distinct(), "token", "left_semi"), narrow=True)
     counts = words.groupBy("token").agg(F.count("*").alias("df"))
-    fives = items.select(F.explode(F.expr("transform(sequence(1, size(wanted) - 4), i -> array_distinct(slice(wanted, i, 5)))")).alias("five")).distinct()
-    known = fives.select("five", F.explode("five").alias("token")).join(counts, "token")
+    owners = items.select("item_id", F.explode(F.expr("transform(sequence(1, size(wanted) - 4), i -> array_sort(array_distinct(slice(wanted, i, 5))))")).alias("five")).distinct()
+    known = owners.select("five", F.explode("five").alias("token")).distinct().join(counts, "token")
     keys = known.groupBy("five").agg(F.min_by("token", F.struct("df", "token")).alias("token"), F.count("*").alias("n")).where("n = size(five)").select("token", "five")
-    present = words.groupBy("doc_id").agg(F.collect_list("token").alias("present"))
-    hits = words.join(keys, "token").join(present, "doc_id").where(F.forall("five", lambda t: F.array_contains("present", t))).select("doc_id", "five").distinct()
-    owners = items.select("item_id", F.explode(F.expr("transform(sequence(1, size(wanted) - 4), i -> array_distinct(slice(wanted, i, 5)))")).alias("five")).distinct()
-    found = hits.join(owners, "five").select("item_id", "doc_id").distinct().join(items, "item_id").join(present, "doc_id")
-    found = found.select("item_id", "doc_id", tx.longest_run(F.col("wanted"), F.col("present")).cast("long").alias("run"))
-    return found.withColumn("overlap", F.when(F.col("run") >= 8, 0.12).when(F.col("run") >= 6, 0.08).otherwise(0.05))
+    begun = words.join(keys, "token").select("doc_id", "five", F.size("five").alias("n"), F.explode("five").alias("token"))
+    hits = begun.join(words, ["doc_id", "token"]).groupBy("doc_id", "five", "n").agg(F.count("*").alias("found")).where("found = n").select("doc_id", "five")
+    pairs = hits.join(owners, "five").select("item_id", "doc_id").distinct()
+    # places in a row keep their distance from their rank among those found
+    found = pairs.join(places, "item_id").join(words, ["doc_id", "token"]).select("item_id", "doc_id", "place").distinct()
+    ranked = found.withColumn("run", F.col("place") - F.row_number().over(Window.partitionBy("item_id", "doc_id").orderBy("place")))
+    runs = ranked.groupBy("item_id", "doc_id", "run").agg(F.count("*").alias("n")).groupBy("item_id", "doc_id").agg(F.max("n").alias("run"))
+    return runs.withColumn("overlap", F.when(F.col("run") >= 8, 0.12).when(F.col("run") >= 6, 0.08).otherwise(0.05))
 
 
 def in_memory_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +261,7 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STOP = "[" + ", ".join(f"'{w}'" for w in tx.STOPWORDS) + "]"
 _DISTINCT = "list_filter({l}, lambda t, i: list_position({l}, t) = i)"
 
-QUERIES = {f.__name__: f for f in (lexical_rank_topk, whole_word_rank, token_df, bm25_topk, and_of_groups, relaxed_tiers, prefix_any_token, phrase_adjacency, phrase_adjacency_whole, phrase_coverage, sentence_overlap, sentence_overlap_whole, in_memory_score, query_terms)}
+QUERIES = {f.__name__: f for f in (lexical_rank_topk, whole_word_rank, token_df, bm25_topk, and_of_groups, relaxed_tiers, prefix_any_token, phrase_adjacency, phrase_coverage, sentence_overlap, in_memory_score, query_terms, index_contents, phrase_in_chunks)}
 
 _ANY = " OR ".join(f"contains(lower(coalesce({c}, '')), '{t}')" for t in TERMS for c in ("chunk_text", "citation", "title", "author"))
 _WORD = "round(" + " + ".join(f"CASE WHEN {f'contains(lower({c}), {chr(39)}{t}{chr(39)})' if c in ('citation', 'section_label') else f'contains({_padded_sql(c)}, {chr(39)} {t} {chr(39)})'} THEN {w}::DOUBLE ELSE 0 END" for t in WORDS for c, w in WEIGHTS.items()) + ", 6)"
@@ -290,13 +297,20 @@ SELECT CAST(tier AS INTEGER) AS tier, count(*) AS n_chunks, count(DISTINCT docum
 WITH {tb.CHUNKS}, w AS (SELECT chunk_id, document_id, {tokens_sql('chunk_text')} AS w FROM chunks)
 SELECT document_id, count(*) AS n_chunks, min(chunk_id) AS first_chunk FROM w WHERE len(list_filter(w, lambda t: starts_with(t, 'ouz') OR starts_with(t, 'thent') OR starts_with(t, 'keit'))) > 0 GROUP BY document_id""",
     "phrase_adjacency": f"""
-WITH i AS (SELECT item_id, {tokens_sql('text')}[1:3] AS w FROM benchmark), d AS (SELECT doc_id, {tokens_sql('text')} AS w FROM documents),
-g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda k: concat_ws(' ', w[k], w[k + 1], w[k + 2]))) AS phrase FROM d WHERE len(w) >= 3)
-SELECT item_id, doc_id, count(*) AS n_hits FROM i JOIN g ON g.phrase = array_to_string(i.w, ' ') WHERE len(i.w) = 3 GROUP BY item_id, doc_id""",
-    "phrase_adjacency_whole": f"""
-WITH i AS (SELECT item_id, {tokens_sql('text')} AS wanted FROM benchmark), d AS (SELECT doc_id, {tokens_sql('text')} AS w FROM documents),
-c AS (SELECT item_id, doc_id, CAST(len(list_filter(range(1, len(w) - len(wanted) + 2), lambda k: w[k:k + len(wanted) - 1] = wanted)) AS BIGINT) AS n_hits FROM i, d WHERE len(wanted) > 0 AND len(w) >= len(wanted))
-SELECT item_id, doc_id, n_hits FROM c WHERE n_hits > 0""",
+WITH i AS (SELECT item_id, wanted, least(len(wanted), 3) AS n FROM (SELECT item_id, {tokens_sql('text')} AS wanted FROM benchmark) WHERE len(wanted) > 0),
+d AS (SELECT doc_id, {tokens_sql('text')} AS w FROM documents),
+g AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n)
+SELECT item_id, doc_id, count(*) AS n_hits FROM g JOIN i ON i.n = g.n AND array_to_string(w[k:k + g.n - 1], ' ') = array_to_string(wanted[1:i.n], ' ')
+WHERE w[k:k + len(wanted) - 1] = wanted GROUP BY item_id, doc_id""",
+    "index_contents": f"""
+WITH {tb.CHUNKS}, w AS (SELECT chunk_id, {_WORDS_OF_CHUNK} AS w FROM chunks),
+t AS (SELECT chunk_id, unnest(w) AS token, unnest(range(len(w))) AS place FROM w),
+c AS (SELECT token, chunk_id, count(*) AS tf, max(place) AS place FROM t GROUP BY token, chunk_id)
+SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences, max(tf) AS most, min(chunk_id) AS first_chunk, max(chunk_id) AS last_chunk, max(place) AS last_place FROM c GROUP BY token""",
+    "phrase_in_chunks": f"""
+WITH {tb.CHUNKS}, w AS (SELECT chunk_id, {_WORDS_OF_CHUNK} AS w FROM chunks), q AS (SELECT unnest([{", ".join(repr(list(p)) for p in PHRASES)}]) AS p),
+h AS (SELECT array_to_string(p, ' ') AS phrase, chunk_id, CAST(len(list_filter(range(1, len(w) - len(p) + 2), lambda k: w[k:k + len(p) - 1] = p)) AS BIGINT) AS n_hits FROM w, q WHERE list_contains(w, p[1]))
+SELECT * FROM h WHERE n_hits > 0""",
     "phrase_coverage": f"""
 WITH {tb.CHUNKS}, f AS (SELECT chunk_id, {fold_sql('chunk_text')} AS folded FROM chunks),
 p AS (SELECT chunk_id, folded, list_filter([{', '.join(_group_sql(g) for g in COVERAGE)}], lambda x: x >= 0) AS p FROM f),
@@ -304,14 +318,6 @@ c AS (SELECT chunk_id, CAST(len(p) AS BIGINT) AS matched, round(len(p) / 3.0::DO
       CAST(CASE WHEN len(p) < 2 THEN 0 WHEN list_max(p) - list_min(p) <= 120 THEN 0.18 WHEN list_max(p) - list_min(p) <= 240 THEN 0.12 WHEN list_max(p) - list_min(p) <= 420 THEN 0.07 WHEN list_max(p) - list_min(p) <= 700 THEN 0.035 ELSE 0 END AS DOUBLE) AS proximity FROM p)
 SELECT *, round(CASE WHEN exact THEN 0.68 WHEN matched >= 3 THEN 0.2 + proximity WHEN matched >= 2 THEN 0.08 + proximity ELSE 0 END, 6) AS phrase_score FROM c WHERE matched > 0""",
     "sentence_overlap": f"""
-WITH i0 AS (SELECT item_id, list_filter({tokens_sql('text')}, lambda t: length(t) > 2 AND NOT list_contains({_STOP}, t))[1:12] AS wanted FROM benchmark),
-i AS (SELECT *, concat_ws(' ', wanted[1], wanted[2]) AS key FROM i0 WHERE len(wanted) >= 5),
-d AS (SELECT doc_id, list_filter({tokens_sql('text')}, lambda t: length(t) > 2 AND NOT list_contains({_STOP}, t)) AS w FROM documents),
-k AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w)), lambda j: concat_ws(' ', w[j], w[j + 1]))) AS key FROM d WHERE len(w) >= 2),
-m AS (SELECT item_id, doc_id, list_transform(wanted, lambda t: CAST(list_contains(w, t) AS INTEGER)) AS f FROM i JOIN k USING (key) JOIN d USING (doc_id)),
-r AS (SELECT item_id, doc_id, CAST(list_max(list_transform(string_split(array_to_string(f, ''), '0'), lambda s: length(s))) AS BIGINT) AS run FROM m)
-SELECT item_id, doc_id, run, CAST(CASE WHEN run >= 8 THEN 0.12 WHEN run >= 6 THEN 0.08 WHEN run >= 5 THEN 0.05 ELSE 0 END AS DOUBLE) AS overlap FROM r""",
-    "sentence_overlap_whole": f"""
 WITH i AS (SELECT item_id, list_filter({tokens_sql('text')}, lambda t: length(t) > 2 AND NOT list_contains({_STOP}, t)) AS wanted FROM benchmark),
 d AS (SELECT doc_id, list_filter({tokens_sql('text')}, lambda t: length(t) > 2 AND NOT list_contains({_STOP}, t)) AS w FROM documents),
 m AS (SELECT item_id, doc_id, list_transform(wanted, lambda t: CAST(list_contains(w, t) AS INTEGER)) AS f FROM i, d WHERE len(wanted) >= 5),
