@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.arrow import prepare_workers, without
+from tessera.plans.arrow import prepare_workers
 from tessera.plans.lineage import settle
 
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
@@ -161,13 +161,13 @@ def digest(books: Sequence[np.ndarray]) -> str:
 
 
 def whole(vectors: DataFrame, vector: str) -> DataFrame:
-    """Rows whose vector has finite numbers only, with it as ``vector`` of whole
-    numbers, floor(SCALE * x)."""
-    values = F.col(f"`{vector}`").cast("array<double>")
-    finite = F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    bound = F.least(F.lit((1 << 31) - 1), F.floor(F.sqrt(F.lit(float(1 << 60)) / F.greatest(F.size(values), F.lit(1)))))
-    floors = F.transform(values, lambda x: F.greatest(-bound, F.least(bound, F.floor(F.greatest(F.lit(-1e15), F.least(F.lit(1e15), x)) * SCALE))).cast("int"))
-    return without(vectors, {"vector"} - {vector.lower()}).where(values.isNotNull() & finite).withColumn(vector, floors).withColumnRenamed(vector, "vector")
+    """Rows (key, label, a vector) whose vector has finite numbers only, with it as
+    ``vector`` of whole numbers, floor(SCALE * x)."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    bound = F.least(F.lit(float((1 << 31) - 1)), F.floor(F.sqrt(F.lit(float(1 << 60)) / F.greatest(F.size(vector), F.lit(1)))).cast("double"))
+    rows = vectors.withColumn(vector, F.col(vector).cast("array<double>")).where(F.col(vector).isNotNull() & finite).withColumn("bound", bound)
+    floors = F.transform(vector, lambda x: F.greatest(-F.col("bound"), F.least("bound", F.floor(F.greatest(F.lit(-1e15), F.least(F.lit(1e15), x)) * SCALE).cast("double"))).cast("int"))
+    return rows.withColumn(vector, floors).withColumnRenamed(vector, "vector").drop("bound")
 
 
 def with_codes(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", rounds: int = ROUNDS) -> DataFrame:
