@@ -22,20 +22,15 @@ def query(sql: str | None = None):
     return keep
 
 
-_TOKEN = "regexp_replace(regexp_replace(lower({}), '[\\s_]+', '', 'g'), '[^a-z0-9.()\\-]', '', 'g')"
-_WORD = "regexp_replace(trim({}), '(?i)^(?:sections?\\b|sec\\b\\.?|rules?\\b)\\s*[:.\\-§]*\\s*', '')"
-_PART = "regexp_replace(trim({}), '(?i)^part\\b\\s*[0-9a-z.\\-]+\\s*-\\s*', '')"
-_ROMAN = "regexp_replace(trim({}), '(?i)^(?:m{{0,4}}(?:cm|cd|d?c{{0,3}})(?:xc|xl|l?x{{0,3}})(?:ix|iv|v?i{{1,3}}|v))\\s*-\\s*', '')"
-CITATION_SQL = lambda c: _TOKEN.format(_PART.format(_WORD.format(c)))
-BARE_SQL = lambda c: _TOKEN.format(_PART.format(_ROMAN.format(_WORD.format(c))))
+CITATION_SQL = lambda c: ct.normalised_sql(c, "citation")
 
 
-@query(f"""WITH r AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Section ' || p_size || '.' || p_partkey % 100 || '(a)' WHEN 1 THEN 'Rule: II - ' || p_size || '.1' WHEN 2 THEN 'Part 2-A - ' || p_size || '.2(b)(1)' WHEN 3 THEN 'IC-' || p_size || ' B' WHEN 4 THEN 'Ordinance 37.' || p_size % 10 || '(c)' ELSE 'sec. 37.8 (d)' END AS raw FROM part),
-n AS (SELECT p_partkey, raw, {CITATION_SQL('raw')} AS citation, {BARE_SQL('raw')} AS bare, regexp_replace({_TOKEN.format("regexp_replace(trim(raw), '(?i)^ic(?:[\\s_-]+|([0-9]))', '\\1')")}, '^-+', '') AS code FROM r)
+@query(f"""WITH r AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Section ' || p_size || '.' || p_partkey % 100 || '(a)' WHEN 1 THEN 'Rule: ' || ['II', 'X', 'XX', 'L', 'C', 'IIII', 'A'][p_partkey % 7 + 1] || ' - ' || p_size || '.1' WHEN 2 THEN 'Part 2-A - ' || p_size || '.2(b)(1)' WHEN 3 THEN 'IC-' || p_size || ' B' WHEN 4 THEN 'Ordinance 37.' || p_size % 10 || '(c)' ELSE 'sec. 37.8 (d)' END AS raw FROM part),
+n AS (SELECT p_partkey, raw, {CITATION_SQL('raw')} AS citation, {ct.normalised_sql('raw', 'bare')} AS bare, {ct.normalised_sql('raw', 'code')} AS code FROM r)
 SELECT p_partkey, citation, bare, code, string_split(citation, '(')[1] AS base, CASE WHEN starts_with(citation, 'ordinance37.') AND regexp_replace(regexp_replace(citation, '^ordinance', ''), '\\([a-z0-9]+\\)', '', 'g') IN ('37.1', '37.2', '37.8') THEN regexp_replace(citation, '^ordinance', '') ELSE citation END AS ordinance_key FROM n""")
 def citation_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal forms of citations of several shapes."""
-    raw = F.expr("CASE p_partkey % 6 WHEN 0 THEN concat('Section ', p_size, '.', p_partkey % 100, '(a)') WHEN 1 THEN concat('Rule: II - ', p_size, '.1') WHEN 2 THEN concat('Part 2-A - ', p_size, '.2(b)(1)') WHEN 3 THEN concat('IC-', p_size, ' B') WHEN 4 THEN concat('Ordinance 37.', p_size % 10, '(c)') ELSE 'sec. 37.8 (d)' END")
+    raw = F.expr("CASE p_partkey % 6 WHEN 0 THEN concat('Section ', p_size, '.', p_partkey % 100, '(a)') WHEN 1 THEN concat('Rule: ', element_at(array('II', 'X', 'XX', 'L', 'C', 'IIII', 'A'), CAST(p_partkey % 7 + 1 AS INT)), ' - ', p_size, '.1') WHEN 2 THEN concat('Part 2-A - ', p_size, '.2(b)(1)') WHEN 3 THEN concat('IC-', p_size, ' B') WHEN 4 THEN concat('Ordinance 37.', p_size % 10, '(c)') ELSE 'sec. 37.8 (d)' END")
     rows = table(spark, sf_dir, "part", "p_partkey", "p_size").select("p_partkey", raw.alias("raw"))
     r = F.col("raw")
     return rows.select("p_partkey", ct.citation(r).alias("citation"), ct.bare_citation(r).alias("bare"), ct.index_code(r).alias("code"), ct.base(r).alias("base"), ct.ordinance_key(r).alias("ordinance_key"))

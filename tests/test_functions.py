@@ -67,6 +67,8 @@ def test_citations(spark):
     assert value(spark, ct.citation(c), c="Part 2-A - 6.10") == "6.10"
     assert value(spark, ct.bare_citation(c), c="Rule IV - 6.10(b)") == "6.10(b)"
     assert value(spark, ct.bare_citation(c), c="Rule A - 6.10") == "a-6.10"
+    for given, wanted in (("X - 37.2", "37.2"), ("XX-3", "3"), ("L - 1.2", "1.2"), ("C-5", "5"), ("MMXIV - 6(a)", "6(a)"), ("IIII - 3", "iiii-3"), ("- 37.2", "-37.2"), ("X -", "x-"), ("X 37", "x37")):
+        assert value(spark, ct.bare_citation(c), c=given) == wanted, given
     assert value(spark, ct.index_code(c), c="IC-G27") == "g27"
     assert value(spark, ct.index_code(c), c="ic 12") == "12"
     assert value(spark, ct.ordinance_key(c), c="Ordinance 37.2(r)") == "37.2(r)"
