@@ -60,8 +60,9 @@ def first_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-#: Parts of a store; a write touches those that its keys fall in.
-BUCKETS = 64
+#: Parts of a store; a write touches those that its keys fall in.  Versions after which
+#: what a write replaced is deleted: who began to read before can go on.
+BUCKETS, KEPT_VERSIONS = 64, 3
 
 
 def _files(spark: SparkSession, name: str):
@@ -69,16 +70,18 @@ def _files(spark: SparkSession, name: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _listing(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
-    """The last version of a store, and the folder of each of its buckets."""
+def _listing(spark: SparkSession, path: str) -> tuple[int, dict[int, str], list[tuple[int, str]]]:
+    """The last version of a store, the folder of each of its buckets, and folders
+    that were replaced, with the version that did."""
     place, files = _files(spark, f"{path}/_versions")
     if not files.exists(place):
-        return 0, {}
+        return 0, {}, []
     names = sorted(s.getPath().getName() for s in files.listStatus(place) if s.getPath().getName().isdigit())
     if not names:
-        return 0, {}
-    text = spark.read.text(f"{path}/_versions/{names[-1]}", wholetext=True).first()[0]
-    return int(names[-1]), {int(k): v for k, v in json.loads(text).items()}
+        return 0, {}, []
+    listed = json.loads(spark.read.text(f"{path}/_versions/{names[-1]}", wholetext=True).first()[0])
+    gone = [tuple(g) for g in listed.pop("gone", [])]
+    return int(names[-1]), {int(k): v for k, v in listed.items()}, gone
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame | None:
@@ -95,7 +98,7 @@ def overwrite_by_key(spark: SparkSession, path: str, new: DataFrame, keys: list[
     when the listing of the next version takes its name, in one step: a failure
     before that leaves the old version whole, one after it only files that nothing
     lists.  Of two writers at a time, one fails."""
-    version, folders = _listing(spark, path)
+    version, folders, gone = _listing(spark, path)
     placed = settle(new.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")))
     touched = sorted(r.bucket for r in placed.select("bucket").distinct().collect())
     before = [folders[k] for k in touched if k in folders]
@@ -108,12 +111,14 @@ def overwrite_by_key(spark: SparkSession, path: str, new: DataFrame, keys: list[
     rows.repartition("bucket").write.partitionBy("bucket").parquet(folder)
     release(placed)
     folders |= {k: f"{folder}/bucket={k}" for k in touched}
+    gone += [(version + 1, f) for f in before]
+    kept = [g for g in gone if g[0] > version + 1 - KEPT_VERSIONS]
     draft, files = _files(spark, f"{path}/_versions/draft-{uuid4().hex}")
     out = files.create(draft, False)
-    out.write(bytearray(json.dumps(folders).encode()))
+    out.write(bytearray(json.dumps({**folders, "gone": kept}).encode()))
     out.close()
     named, _ = _files(spark, f"{path}/_versions/{version + 1:012d}")
     if not files.rename(draft, named):
         raise RuntimeError(f"another writer changed {path}")
-    for gone in before:
-        files.delete(_files(spark, gone)[0], True)
+    for _, old_folder in gone[: len(gone) - len(kept)]:
+        files.delete(_files(spark, old_folder)[0], True)

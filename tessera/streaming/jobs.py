@@ -79,3 +79,67 @@ def keep_postings(chunks: DataFrame, store: str, checkpoint: str) -> StreamingQu
         overwrite_by_key(spark, store, new.unionByName(marks), ["chunk_id"])
 
     return chunks.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_versions(changes: DataFrame) -> DataFrame:
+    """(doc_id, at, values): the last change of each document; null values delete it.
+    Of changes at one time, a deletion counts, else the largest array."""
+    change = F.struct("at", F.col("values").isNull().alias("deleted"), "values")
+    return changes.groupBy("doc_id").agg(F.max(change).alias("c")).select("doc_id", "c.at", F.array_distinct("c.values").alias("values"))
+
+
+def merge_items(batch: DataFrame, number: int, store: str) -> None:
+    """The documents of a batch in a store, each with what it was before the batch, so
+    that the batch can be taken again at any moment."""
+    spark = batch.sparkSession
+    new, old = latest_versions(batch), read_store(spark, store)
+    none = F.lit(None).cast("array<string>")
+    if old is None:
+        rows = new.select("doc_id", "at", "values", F.lit(None).cast(batch.schema["at"].dataType).alias("at_before"), none.alias("before"))
+    else:
+        again = F.col("o.batch") == number
+        at = F.when(again, F.col("o.at_before")).otherwise(F.col("o.at"))
+        held = F.when(again, F.col("o.before")).otherwise(F.col("o.values"))
+        joined = new.alias("n").join(old.alias("o"), "doc_id", "left").select("doc_id", F.col("n.at").alias("at"), F.col("n.values").alias("values"), at.alias("at_before"), held.alias("before"))
+        one, other = (F.struct(a, v.isNull().alias("deleted"), v.alias("v")) for a, v in ((F.col("at"), F.col("values")), (F.col("at_before").alias("at"), F.col("before"))))
+        newer = F.col("at_before").isNull() | (one > other)
+        rows = joined.select("doc_id", F.when(newer, F.col("at")).otherwise(F.col("at_before")).alias("at"), F.when(newer, F.col("values")).otherwise(F.col("before")).alias("values"), "at_before", "before")
+    overwrite_by_key(spark, store, rows.withColumn("batch", F.lit(number).cast("long")), ["doc_id"])
+
+
+def merge_deltas(spark, number: int, items: str, store: str) -> None:
+    """What a batch changed in the counts of values, under its number: a batch that is
+    taken again replaces what it wrote."""
+    rows = read_store(spark, items).where(F.col("batch") == number)
+    gained = F.transform(F.coalesce("values", F.array().cast("array<string>")), lambda v: F.struct(v.alias("value"), F.lit(1).alias("d")))
+    lost = F.transform(F.coalesce("before", F.array().cast("array<string>")), lambda v: F.struct(v.alias("value"), F.lit(-1).alias("d")))
+    found = rows.select(F.explode(F.concat(gained, lost)).alias("c")).groupBy("c.value").agg(F.sum("c.d").alias("delta")).where("delta <> 0")
+    mark = spark.createDataFrame([(None, 0)], "value string, delta long")  # a batch without changes replaces too
+    overwrite_by_key(spark, store, found.unionByName(mark).withColumn("batch", F.lit(number).cast("long")), ["batch"])
+
+
+def facet_counts(spark, store: str) -> DataFrame:
+    """(value, n): how many documents have each value now."""
+    rows = read_store(spark, store)
+    return rows.groupBy("value").agg(F.sum("delta").alias("n")).where("value IS NOT NULL AND n <> 0")
+
+
+def compact_deltas(spark, store: str, before: int) -> None:
+    """The counts of all batches before one under one number, in one step."""
+    rows = read_store(spark, store).where(F.col("batch") < before)
+    totals = rows.groupBy("value").agg(F.sum("delta").alias("delta")).where("delta <> 0 OR value IS NULL").withColumn("batch", F.lit(-1).cast("long"))
+    marks = rows.where("batch >= 0").select(F.lit(None).cast("string").alias("value"), F.lit(0).cast("long").alias("delta"), "batch").distinct()
+    overwrite_by_key(spark, store, totals.unionByName(marks), ["batch"])
+
+
+def keep_facets(changes: DataFrame, items: str, store: str, checkpoint: str) -> StreamingQuery:
+    """Counts of values that follow a stream of changes (doc_id, at, values): inserts,
+    updates and deletions, in any order and batches, some of them more than once.  A
+    batch touches the documents that it names only; their former values are
+    taken back."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        merge_items(batch, number, items)
+        merge_deltas(batch.sparkSession, number, items, store)
+
+    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
