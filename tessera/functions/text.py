@@ -112,6 +112,13 @@ def word_pattern(term: str) -> str:
     return "(^|[^a-z0-9])" + "".join(c if c.isalnum() or c in " _" else "\\" + c for c in term) + "([^a-z0-9]|$)"
 
 
+def bounded(pattern: str) -> str:
+    """A pattern whose word boundaries are those of ASCII letters, digits and _, as in
+    RE2 and ECMAScript; Java's also know other letters."""
+    word = "[A-Za-z0-9_]"
+    return pattern.replace(r"\b", f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))")
+
+
 def has_word(folded: Column, term: str) -> Column:
     return F.regexp_like(folded, F.lit(word_pattern(term)))
 

@@ -109,7 +109,7 @@ FALLBACK_BOOST, LEAST_FILTERS = 0.02, 2
 
 
 def _like(text: Column, pattern: str) -> Column:
-    return F.regexp_like(text, F.lit(pattern)) if pattern else F.lit(False)
+    return F.regexp_like(text, F.lit(tx.bounded(pattern))) if pattern else F.lit(False)
 
 
 def _lexical(folded: Column, words: Sequence[str]) -> tuple[Column, Column]:

@@ -100,7 +100,7 @@ def sentence_style(text: Column, kind: Column) -> Column:
     raw = F.trim(text)
     n = F.size(F.filter(tx.tokens(raw), lambda t: F.length(t) > 2))
     clause = F.regexp_like(raw, F.lit("[,:;]")) & (n >= CLAUSE_TOKENS)
-    found = (n >= SENTENCE_TOKENS) | (F.length(raw) >= SENTENCE_CHARACTERS) | clause | F.regexp_like(tx.fold(raw), F.lit(REASONING))
+    found = (n >= SENTENCE_TOKENS) | (F.length(raw) >= SENTENCE_CHARACTERS) | clause | F.regexp_like(tx.fold(raw), F.lit(tx.bounded(REASONING)))
     return (tx.fold(raw) != "") & ~kind.isin(*NO_SENTENCE) & found
 
 

@@ -61,6 +61,12 @@ def test_extraction(spark):
     assert value(spark, ex.fnv1a(t), t="abc") == "1a47e90b"
 
 
+def test_boundaries_are_those_of_ascii(spark):
+    found = F.regexp_like(F.col("c"), F.lit(tx.bounded(r"\bles\b|^\bunit\b$")))
+    for text, wanted in (("les", True), ("œles", True), ("lesß x", True), ("bles", False), ("les_", False), ("a les.", True), ("unit", True), ("units", False)):
+        assert value(spark, found, c=text) is wanted, text
+
+
 def test_citations(spark):
     c = F.col("c")
     assert value(spark, ct.citation(c), c="Section 37.9 (a)(2)") == "37.9(a)(2)"
