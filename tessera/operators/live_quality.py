@@ -12,7 +12,7 @@ from tessera.operators.lexical import fold_sql
 from tessera.operators.retrieval import section_boost
 from tessera.sources.tables import CHUNKS, TRUSTED, chunks, decisions, trusted
 
-#: Rows that are looked at; weights of the measures; a streak that counts
+#: Fixed values (a billionth keeps halves from rounding by chance): rows that are looked at; weights of the measures; a streak that counts
 #: as full pressure; and where a measure is weak.
 TOP, STREAK = 10, 5
 WEIGHTS = {"expected": 30, "rerank": 15, "provenance": 15, "anchored": 10, "documents": 10, "types": 10, "unpressed": 10}
@@ -39,7 +39,7 @@ def measured(rows: DataFrame) -> DataFrame:
     spread = runs.groupBy("query_id", "document_id").agg(F.sum("length").alias("n"), F.max("length").alias("streak")).groupBy("query_id").agg(F.max("n").alias("most"), F.max("streak").alias("streak"), F.count("*").alias("n_documents"))
     share = lambda c: F.round(F.avg(F.col(c).cast("int")), 4)
     top = ranked.groupBy("query_id").agg(
-        F.count("*").alias("n"), share("expected").alias("expected"), F.round(F.avg("rerank"), 4).alias("mean"), F.max("rerank").alias("best"),
+        F.count("*").alias("n"), share("expected").alias("expected"), F.round(F.avg("rerank") + 1e-9, 4).alias("mean"), F.max("rerank").alias("best"),
         share("provenance").alias("provenance"), share("anchored").alias("anchored"), F.count_distinct(F.coalesce("label", F.lit(""))).alias("n_types"),
     ).join(spread, "query_id")
     everything = rows.groupBy("query_id").agg(F.round(F.avg((~F.col("trusted")).cast("int")), 4).alias("outside"))
@@ -48,7 +48,7 @@ def measured(rows: DataFrame) -> DataFrame:
     n = F.col("n")
     pressure = F.round((ratio(F.col("most"), n) + F.least(F.lit(1.0), F.col("streak") / STREAK)) / 2, 4)
     found = found.withColumns({
-        "rerank": F.when(F.col("best") > 0, F.round(F.least(F.lit(1.0), F.col("mean") / F.col("best")), 4)).otherwise(0.0),
+        "rerank": F.when(F.col("best") > 0, F.round(F.least(F.lit(1.0), F.col("mean") / F.col("best") + 1e-9), 4)).otherwise(0.0),
         "documents": ratio(F.col("n_documents"), n),
         "types": ratio(F.col("n_types"), n),
         "pressure": pressure,
@@ -94,12 +94,12 @@ t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS nth
 u AS (SELECT query_id, document_id, nth - row_number() OVER (PARTITION BY query_id, document_id ORDER BY nth) AS run FROM t),
 v AS (SELECT query_id, document_id, sum(length) AS n, max(length) AS streak FROM (SELECT query_id, document_id, run, count(*) AS length FROM u GROUP BY ALL) GROUP BY query_id, document_id),
 w AS (SELECT query_id, max(n) AS most, max(streak) AS streak, count(*) AS n_documents FROM v GROUP BY query_id),
-a AS (SELECT query_id, count(*) AS n, round(avg(CAST(section_label IN ('Findings of Fact', 'Conclusions of Law') AS INTEGER)), 4) AS expected, round(avg(rerank), 4) AS mean, max(rerank) AS best,
+a AS (SELECT query_id, count(*) AS n, round(avg(CAST(section_label IN ('Findings of Fact', 'Conclusions of Law') AS INTEGER)), 4) AS expected, round(avg(rerank) + 1e-9, 4) AS mean, max(rerank) AS best,
   round(avg(CAST(coalesce(title, '') <> '' AND citation IS NOT NULL AND anchored AS INTEGER)), 4) AS provenance, round(avg(CAST(anchored AS INTEGER)), 4) AS anchored, count(DISTINCT coalesce(section_label, '')) AS n_types FROM t GROUP BY query_id),
 e AS (SELECT query_id, round(avg(CAST(NOT trusted AS INTEGER)), 4) AS outside FROM p GROUP BY query_id),
 j AS (SELECT query_id, outside, coalesce(n, 0) AS n, coalesce(expected, 0) AS expected, coalesce(mean, 0) AS mean, coalesce(best, 0) AS best, coalesce(provenance, 0) AS provenance, coalesce(anchored, 0) AS anchored, coalesce(n_types, 0) AS n_types, coalesce(most, 0) AS most, coalesce(streak, 0) AS streak, coalesce(n_documents, 0) AS n_documents
   FROM e LEFT JOIN a USING (query_id) LEFT JOIN w USING (query_id)),
-k AS (SELECT *, CASE WHEN best > 0 THEN round(least(1.0::DOUBLE, mean / best), 4) ELSE 0.0::DOUBLE END AS rerank, CASE WHEN n > 0 THEN round(n_documents / CAST(n AS DOUBLE), 4) ELSE 0.0::DOUBLE END AS documents, CASE WHEN n > 0 THEN round(n_types / CAST(n AS DOUBLE), 4) ELSE 0.0::DOUBLE END AS types,
+k AS (SELECT *, CASE WHEN best > 0 THEN round(least(1.0::DOUBLE, mean / best + 1e-9), 4) ELSE 0.0::DOUBLE END AS rerank, CASE WHEN n > 0 THEN round(n_documents / CAST(n AS DOUBLE), 4) ELSE 0.0::DOUBLE END AS documents, CASE WHEN n > 0 THEN round(n_types / CAST(n AS DOUBLE), 4) ELSE 0.0::DOUBLE END AS types,
   round((CASE WHEN n > 0 THEN round(most / CAST(n AS DOUBLE), 4) ELSE 0.0::DOUBLE END + least(1.0::DOUBLE, streak / {STREAK}.0::DOUBLE)) / 2, 4) AS pressure FROM j)
 SELECT query_id, expected, rerank, provenance, anchored, documents, types, pressure, outside, round({' + '.join(f"{m if m != 'unpressed' else '(1 - pressure)'} * {w}" for m, w in WEIGHTS.items())} + 1e-9, 2) AS score,
   array_to_string(list_filter([{', '.join(f"CASE WHEN {test} THEN '{name}' END" for name, test in WEAK)}], lambda x: x IS NOT NULL), ',') AS weak FROM k"""
