@@ -140,3 +140,27 @@ def test_fnv1a_over_utf16_units(spark):
 
     for t in ("", "a", "é1:2", "x\U0001f600y"):
         assert value(spark, ex.fnv1a(F.col("t")), t=t) == plain(t)
+
+
+def test_needed_strings_and_word_tests(spark):
+    """Patterns are searched only where a string that every match needs is there, and words
+    between spaces are found and counted as by their patterns."""
+    from tessera.operators import cascade, channels, families
+
+    patterns = {p for t in channels.TOPICS.values() for l in t.asks for p in l}
+    patterns |= {p for f in families.FAMILIES.values() for o in f.outcomes for l in o.contexts for p in l}
+    assert all(map(tx.needed, patterns))  # failed before: all were searched in every text
+    assert tx.needed(r"\b(owner|relative) move(-|\s)?in\b") == (" move",) and tx.needed("a?|b") == () and tx.needed("(?i)abc") == ()
+    texts = ["the the the", "xthe the-the. the", "that the", "that-the that  the", "is_the étheé the", "", None, "moved in; an owner move-in", "dogs? no pets", "section 8x section 8."]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    folded, spaced = tx.fold(F.col("t")), tx.spaced(tx.fold(F.col("t")))
+    for term in ("the", "that the", "owner"):
+        pattern = F.lit(tx.word_pattern(term))
+        plain = [F.regexp_like(folded, pattern), F.regexp_count(folded, pattern)]
+        for found in ([tx.has_word(folded, term), tx.count_word(folded, term)], [tx.has_spaced(spaced, folded, term), tx.count_spaced(spaced, folded, term)]):
+            for r in rows.select(*[c.alias(f"c{k}") for k, c in enumerate([*plain, *found])]).collect():
+                assert r[0] == r[2] and r[1] == r[3], (term, r)
+    word = "[A-Za-z0-9_]"
+    for p in (*sorted(patterns)[:40], r"\bthe\b", cascade.VOUCHER, cascade.SEVERE):
+        full = p.replace(r"\b", f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))")
+        assert all(r[0] == r[1] for r in rows.select(F.regexp_like("t", F.lit(full)), tx.like(F.col("t"), p)).collect()), p
