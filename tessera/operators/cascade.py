@@ -21,7 +21,7 @@ from tessera.functions import text as tx
 from tessera.operators.lexical import fold_sql
 from tessera.operators.retrieval import _SIMILAR, best_similarity, calibrated, query_vectors, section_boost
 from tessera.plans.lineage import settle
-from tessera.sources.tables import CHUNKS, LINES, decisions, table
+from tessera.sources.tables import CHUNKS, LINES, blank, decisions, table
 
 
 class Asked(NamedTuple):
@@ -109,14 +109,14 @@ FALLBACK_BOOST, LEAST_FILTERS = 0.02, 2
 
 
 def _like(text: Column, pattern: str) -> Column:
-    return F.regexp_like(text, F.lit(tx.bounded(pattern))) if pattern else F.lit(False)
+    return tx.like(text, pattern) if pattern else F.lit(False)
 
 
-def _lexical(folded: Column, words: Sequence[str]) -> tuple[Column, Column]:
+def _lexical(folded: Column, spaced: Column, words: Sequence[str]) -> tuple[Column, Column]:
     """A query's lexical score, and whether its words stand side by side."""
-    hits = reduce(lambda a, b: a + b, [tx.has_word(folded, w).cast("int") for w in words])
-    times = reduce(lambda a, b: a + b, [tx.count_word(folded, w) for w in words])
-    whole = tx.has_word(folded, " ".join(words))
+    hits = reduce(lambda a, b: a + b, [tx.has_spaced(spaced, folded, w).cast("int") for w in words])
+    times = reduce(lambda a, b: a + b, [tx.count_spaced(spaced, folded, w) for w in words])
+    whole = tx.has_spaced(spaced, folded, " ".join(words))
     score = hits / len(words) * 0.75 + F.least(F.lit(1.0), times / (len(words) * 2)) * 0.25 + F.when(whole & F.lit(len(words) > 1), 0.18).otherwise(0.0)
     return F.round(F.least(F.lit(1.2), score), 6), whole
 
@@ -132,10 +132,11 @@ def supports(document: Column, asked: Sequence[Asked]) -> Column:
     return F.array_compact(F.array(*[F.when(_like(document, a.topic) & _like(document, a.second), F.lit(a.name)) for a in asked if a.kind == "detainer"]).cast("array<string>"))
 
 
-def evidence(asked: Asked, folded: Column, label: Column, author: Column, supported: Column) -> Column:
+def evidence(asked: Asked, folded: Column, spaced: Column, label: Column, author: Column, supported: Column) -> Column:
     """What they name of a chunk for a query, but for its similarity: ``folded`` is the
-    chunk's text, ``supported`` the queries that its document supports."""
-    lexical, whole = _lexical(folded, asked.text.split())
+    chunk's text, ``spaced`` the same between spaces, ``supported`` the queries that its
+    document supports."""
+    lexical, whole = _lexical(folded, spaced, asked.text.split())
     count = lambda terms: reduce(lambda a, b: a + b, [F.contains(folded, F.lit(t)).cast("int") for t in terms], F.lit(0))
     found = {
         "issue_hits": count(asked.issue),
@@ -157,9 +158,9 @@ def candidates(rows: DataFrame, similar: DataFrame, asked: Sequence[Asked]) -> D
     chunk_id, document_id, chunk_text, section_label, author and ``supports``; ``similar``
     has document_id and similarity.  Nulls are empty texts and no similarity."""
     spark = rows.sparkSession
-    filled = rows.select("chunk_id", "document_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("chunk_text", "section_label", "author")], "supports").withColumn("folded", tx.fold(F.col("chunk_text")))
+    filled = rows.select("chunk_id", "document_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("chunk_text", "section_label", "author")], "supports").withColumn("folded", tx.fold(F.col("chunk_text"))).withColumn("spaced", tx.spaced(F.col("folded")))
     own = shared(F.col("folded"), F.col("chunk_text"), F.col("section_label"))
-    columns = [F.col(c) for c in ("folded", "section_label", "author", "supports")]
+    columns = [F.col(c) for c in ("folded", "spaced", "section_label", "author", "supports")]
     found = filled.select("chunk_id", "document_id", *[v.alias(k) for k, v in own.items()], F.explode(F.array(*[evidence(a, *columns) for a in asked])).alias("e"))
     found = found.select(*[c for c in found.columns if c != "e"], "e.*").join(similar.select("document_id", "similarity"), "document_id", "left")
     about = [(a.name, bool(a.issue), bool(a.procedure), bool(a.judge) and not a.issue and not a.procedure, len(a.text.split()) > 1, a.kind, a.cooling, a.strong, a.structural, a.citation, a.vectors, a.filters) for a in asked]
@@ -230,7 +231,9 @@ LABELS = ("Findings of Fact", "Conclusions of Law", "Order", "Background", "Intr
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = decisions(spark, sf_dir)
-    lines = docs.select("id", "author", supports(tx.fold(F.coalesce("text", F.lit(""))), ASKED).alias("supports"), F.posexplode(F.split("text", "\n")).alias("place", "chunk_text")).where(F.trim("chunk_text") != "")
+    # beside posexplode() what a document supports would be found again for every line
+    docs = docs.select("id", "author", "text", supports(tx.fold(F.coalesce("text", F.lit(""))), ASKED).alias("supports"))
+    lines = docs.select("id", "author", "supports", F.posexplode(F.split("text", "\n")).alias("place", "chunk_text")).where(~blank("chunk_text"))
     label = F.element_at(F.array(*map(F.lit, LABELS)), F.col("place") % len(LABELS) + 1)
     rows = lines.select((F.col("id") * LINES + F.col("place")).alias("chunk_id"), F.col("id").alias("document_id"), "chunk_text", label.alias("section_label"), "author", "supports")
     vectors = table(spark, sf_dir, "embeddings")
