@@ -123,7 +123,7 @@ def whole_word_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document frequency of every token, with those too common for a query."""
-    found = index.frequencies(index.of_tables(spark, sf_dir))
+    found = index.at_hand(spark, sf_dir).frequencies()
     return found.select("token", "df", (F.col("df") > 500).alias("common"))
 
 
