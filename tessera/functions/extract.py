@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import text as tx
+
 # What introduces or forms a citation, date or label.
 INDEX_LINE = r"(?i)\b(?:index\s*codes?|ic)\s*[:#-]?\s*([^\n\r]{0,220})"
 INDEX_CODE = r"\b(?:[A-Z]{1,4}\s*-?\s*(?:\d\s*){1,4}(?:\.\s*(?:\d\s*){1,2})?[A-Z]?|\d{1,4}(?:\.\d{1,2})?[A-Z]?)\b"
@@ -168,7 +170,7 @@ BY_SIGNAL = (
 
 
 def signal(lowered: Column, name: str) -> Column:
-    return F.regexp_like(lowered, F.lit(SIGNALS[name]))
+    return tx.like(lowered, SIGNALS[name])
 
 
 def heading_type(heading: Column) -> Column:

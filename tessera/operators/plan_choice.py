@@ -84,9 +84,13 @@ def compared(documents: DataFrame) -> DataFrame:
     def start() -> Callable:
         def compute(listed: pa.Array) -> list:
             before, after = [], []
-            for paragraphs in listed.to_pylist():
-                before.append([{"first": f, "last": l} for f, l in overlapping([p["length"] for p in paragraphs])])
-                after.append([{"first": f, "last": e - 1, "reason": r} for f, e, r in repaired([(p["length"], p["kind"], p["density"]) for p in paragraphs])])
+            flat, ends = listed.flatten(), listed.offsets.to_pylist()
+            held = dict(zip((f.name for f in flat.type), flat.flatten(), strict=True))
+            length, kind, density = (held[n].to_pylist() for n in ("length", "kind", "density"))
+            for low, high in zip(ends, ends[1:]):
+                low, high = low - ends[0], high - ends[0]
+                before.append([{"first": f, "last": l} for f, l in overlapping(length[low:high])])
+                after.append([{"first": f, "last": e - 1, "reason": r} for f, e, r in repaired(list(zip(length[low:high], kind[low:high], density[low:high])))])
             return [before, after]
 
         return compute
@@ -110,12 +114,15 @@ def compared(documents: DataFrame) -> DataFrame:
 
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("t")
-    refs = F.size(F.array_distinct(F.regexp_extract_all(t, F.lit(_REFS), F.lit(1))))
-    density, short = refs * 1000.0 / F.length(t), F.length(t) < HEADING_MOST
+    named = F.size(F.array_distinct(F.regexp_extract_all(t, F.lit(_REFS), F.lit(1))))
+    refs = F.when(F.contains(F.lower(t), F.lit("ordinance")), named).otherwise(0)
     bits = reduce(lambda a, b: a + b, [F.when(ex.signal(F.lower(t), n), bit).otherwise(0) for n, bit in _BIT.items()])
-    kind = F.when(short, "heading").otherwise(ex.chunk_class(F.lit(""), t, density)["type"])
     plain = table(spark, sf_dir, "documents", "doc_id", "text").select((-F.col("doc_id") - 1).alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("n", "t")).where(F.trim("t") != "")
-    rows = _legal_paragraphs(spark, sf_dir).unionByName(plain).select("doc_id", F.struct("n", F.length(t).alias("length"), kind.alias("kind"), density.alias("density"), refs.alias("refs"), bits.alias("bits"), F.when(short, ex.heading_type(t)).alias("head")).alias("p"))
+    # both are found once, though used several times
+    rows = _legal_paragraphs(spark, sf_dir).unionByName(plain).withColumns({"refs": refs, "bits": bits})
+    density, short = F.col("refs") * 1000.0 / F.length(t), F.length(t) < HEADING_MOST
+    kind = F.when(short, "heading").otherwise(_type(F.col("bits"), F.lit(None).cast("string"), density))
+    rows = rows.select("doc_id", F.struct("n", F.length(t).alias("length"), kind.alias("kind"), density.alias("density"), "refs", "bits", F.when(short, ex.heading_type(t)).alias("head")).alias("p"))
     return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("all"))
 
 

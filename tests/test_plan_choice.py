@@ -26,3 +26,15 @@ def test_given_documents_have_both(spark):
     rows = plan_choice.plan_comparison(spark, "/root/testdata/sf0.001").collect()
     assert {r.accepted for r in rows} == {True, False}
     assert all(r.n_kept == (r.repaired_n if r.accepted else r.plain_n) for r in rows)
+
+
+def test_signals_are_found_once(spark):
+    """One search for each signal in either half of the union: failed before."""
+    setting = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "100000")
+    try:
+        plan = plan_choice._listed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(setting, before)
+    assert plan.count("ordered|granted|denied") == 2
