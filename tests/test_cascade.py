@@ -73,3 +73,17 @@ def test_odd_tables(spark, judged):
     empty = spark.createDataFrame([], "chunk_id long, document_id long, chunk_text string, section_label string, author string, supports array<string>")
     none = cascade.judged(cascade.candidates(empty, spark.createDataFrame([], "document_id long, similarity double"), ASKED))
     assert cascade.survivors(none).collect() == [] and cascade.report(none).collect() == []
+
+
+def test_support_is_found_once_a_document(spark):
+    """Below the generator of lines, not for each of them: failed before."""
+    setting = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "100000")
+    try:
+        plan = cascade._judged(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    finally:
+        spark.conf.set(setting, before)
+    lines = [k for k, line in enumerate(plan) if "Generate posexplode" in line]
+    found = [k for k, line in enumerate(plan) if "AS supports#" in line and "detained" in line]
+    assert len(lines) == len(found) == 1 and found[0] > lines[0]
