@@ -64,7 +64,7 @@ _EXPECTED = ("Findings of Fact", "Conclusions of Law")
 
 
 def _rerank(folded: Column, label: Column) -> Column:
-    lexical, _ = _lexical(folded, _WORDS)
+    lexical, _ = _lexical(folded, tx.spaced(folded), _WORDS)
     return F.round(F.pow(lexical * 0.42 + section_boost(label), F.lit(0.6)), 6)
 
 
